@@ -30,6 +30,8 @@ UNKNOWN = "und"
 CACHE_WORDS = 150_000
 #: Words after which further ones no longer make the score surer.
 SURE_AFTER = 25
+#: A text with a lower score is rejected along with `und`: nothing in it is known, or two languages fit alike.
+REJECT_BELOW = 0.4
 _WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, lang_pred string, score double, n_words long"
 
@@ -138,7 +140,29 @@ def fit(labelled: DataFrame) -> Model | None:
     return Model(words, most(parts, MODEL_GRAMS)) if words else None
 
 
-_KEPT: dict[int, Scores] = {}
+_KEPT: dict[int, Scores | None] = {}
+
+
+def _scores(model: Model | None) -> Scores | None:
+    if id(model) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[id(model)] = Scores(model) if model else None
+    return _KEPT[id(model)]
+
+
+def judge(texts: list[str | None], scores: Scores | None) -> list[tuple[str, float, int]]:
+    """(language, score, words) of each text."""
+    out = []
+    for text in texts:
+        words = words_of(text)
+        if not words or not scores:
+            out.append((UNKNOWN, 0.0, len(words)))
+            continue
+        total = scores.total(words)
+        best = int(total.argmax())
+        apart = (total - total[best]) * (min(len(words), SURE_AFTER) / len(words))
+        out.append((scores.model.langs[best], float(1 / np.exp(apart).sum()), len(words)))
+    return out
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -146,32 +170,31 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        if id(model) not in _KEPT:
-            _KEPT.clear()
-            _KEPT[id(model)] = Scores(model) if model else None
-        scores = _KEPT[id(model)]
+        scores = _scores(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                langs, sure, size = [], [], []
-                for text in part.column(1).to_pylist():
-                    words = words_of(text)
-                    size.append(len(words))
-                    if not words or not model:
-                        langs.append(UNKNOWN)
-                        sure.append(0.0)
-                        continue
-                    total = scores.total(words)
-                    best = int(total.argmax())
-                    apart = (total - total[best]) * (min(len(words), SURE_AFTER) / len(words))
-                    langs.append(model.langs[best])
-                    sure.append(float(1 / np.exp(apart).sum()))
+                langs, sure, size = zip(*judge(part.column(1).to_pylist(), scores), strict=True)
                 yield pa.record_batch([part.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(size, pa.int64())], ["doc_id", "lang_pred", "score", "n_words"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is told with a score of at least REJECT_BELOW."""
+    shared, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scores(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = judge(part.column(text).to_pylist(), scores)
+                yield part.filter(pa.array([lang != UNKNOWN and sure >= REJECT_BELOW for lang, sure, _ in found]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def taught(docs: DataFrame) -> DataFrame:
     """Rows that may teach: crc32 of the doc_id as text is not 2 modulo 4."""
     return docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).select("doc_id", "text", "lang")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderflow.llm import language_id, piece_codec, quality, token_counts, topk_search, url_filter
+from tenderflow.llm import decontamination, language_id, lm_scoring, minhash_dedup, piece_codec, quality, substring_dedup, token_counts, topk_search, url_filter
 
 TOKEN_LIMIT = 512
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -19,10 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, *lm_scoring.train(lm_scoring.taught(docs)))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     worth = quality.fit(docs, quality.taught(table(spark, sf_dir, "labels")))
@@ -35,11 +44,19 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.topk(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), TOP_K)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "n_whole")
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -51,12 +68,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_sentencepiece": op2_sentencepiece,
-    "op4_quality": op4_quality,
-    "op5_topk_search": op5_topk_search,
-    "op7_token_counts": op7_token_counts,
-    "op9_url_filter": op9_url_filter,
-    "op10_language_id": op10_language_id,
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_sentencepiece,
+        op3_lm_scoring,
+        op4_quality,
+        op5_topk_search,
+        op6_decontamination,
+        op7_token_counts,
+        op8_minhash_dedup,
+        op9_url_filter,
+        op10_language_id,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -34,3 +34,10 @@ def semi_join_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return df.join(ids, key, "left_semi")
+
+
+def anti_join_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is not in ids (distinct, written); joins as semi_join_ids does."""
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, key, "left_anti")

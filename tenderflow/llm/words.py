@@ -9,6 +9,8 @@ import pyarrow as pa
 import xxhash
 
 SHINGLE = 5
+#: Words that match gain 1, others cost DROP_COST; a stretch ends where the sum has fallen by more than DROP.
+DROP_COST, DROP = 2, 8
 #: Entries after which a worker's word cache starts anew, so that memory stays bounded.
 CACHE_WORDS = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -60,3 +62,17 @@ def byte_texts(batch: pa.RecordBatch, name: str, rows: int = 512) -> Iterator[tu
     for at in range(0, batch.num_rows, rows):
         part = batch.slice(at, rows)
         yield part, part.column(part.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
+
+
+def stretch(same: np.ndarray, at: int) -> tuple[int, int]:
+    """The stretch around at with the best sum of gains and costs, given up once the sum falls DROP below its best."""
+
+    def reach(steps: np.ndarray) -> int:
+        if not len(steps):
+            return 0
+        total = np.cumsum(np.where(steps, 1, -DROP_COST))
+        fallen = np.flatnonzero(np.maximum(np.maximum.accumulate(total), 0) - total > DROP)
+        total = total[: fallen[0]] if len(fallen) else total
+        return int(total.argmax()) + 1 if len(total) and total.max() > 0 else 0
+
+    return at - reach(same[:at][::-1]), at + reach(same[at:])
