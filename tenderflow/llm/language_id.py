@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,7 +52,7 @@ def word_grams(word: str) -> Iterator[str]:
 class Model:
     def __init__(self, words: dict[str, dict[str, int]], grams: dict[str, dict[str, int]]):
         """words and grams: counts by language."""
-        self.langs = sorted(words)
+        self.key, self.langs = uuid.uuid4().hex, sorted(words)
         self.words, self.grams = self._logs(words), self._logs(grams)
 
     def _logs(self, counts: dict[str, dict[str, int]]) -> dict[str, np.ndarray]:
@@ -140,14 +141,17 @@ def fit(labelled: DataFrame) -> Model | None:
     return Model(words, most(parts, MODEL_GRAMS)) if words else None
 
 
-_KEPT: dict[int, Scores | None] = {}
+_KEPT: dict[str, Scores] = {}
 
 
 def _scores(model: Model | None) -> Scores | None:
-    if id(model) not in _KEPT:
+    """The worker's table for this model; one is kept at a time."""
+    if model is None:
+        return None
+    if model.key not in _KEPT:
         _KEPT.clear()
-        _KEPT[id(model)] = Scores(model) if model else None
-    return _KEPT[id(model)]
+        _KEPT[model.key] = Scores(model)
+    return _KEPT[model.key]
 
 
 def judge(texts: list[str | None], scores: Scores | None) -> list[tuple[str, float, int]]:
@@ -155,7 +159,7 @@ def judge(texts: list[str | None], scores: Scores | None) -> list[tuple[str, flo
     out = []
     for text in texts:
         words = words_of(text)
-        if not words or not scores:
+        if not words or scores is None:
             out.append((UNKNOWN, 0.0, len(words)))
             continue
         total = scores.total(words)
