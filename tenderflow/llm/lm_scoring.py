@@ -12,7 +12,7 @@ parameters, VOCAB x 2 x SIZE numbers. Counts of all tokens stay a distributed ta
 frequent ones (a broadcast of bounded size) are joined with it, so base scores are exact.
 
 Defined cases: a null text counts as empty: one end token; an unseen token counts c = 0; without training texts N
-and V are 0 and the model is uniform over end and others. Repeated rows each get their row; a null doc_id is not held out.
+and V are 0 and the model is uniform over the end and the classes. Repeated rows each get their row; a null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from tenderflow.llm.storage import written
 from tenderflow.llm.words import byte_texts, split_words
 
 VOCAB, CLASSES, TABLE, SIZE, ROUNDS = 4_096, 64, 100_000, 16, 2
-NOISE, BATCH, CHUNK_BYTES, RATE, SEED = 256, 4_096, 1_200_000, 0.1, 7
+NOISE, BATCH, CHUNK_BYTES, RATE, SEED = 128, 4_096, 2_400_000, 0.1, 7
 #: The end token: no word holds a space.
 END = b" "
 COUNT_FLUSH = 250_000
@@ -138,12 +138,25 @@ def _pairs(texts: list[bytes | None], p: Parameters) -> tuple[np.ndarray, np.nda
     return pair // size, pair % size, weight, len(tokens) - 1
 
 
+def most_frequent(counts: DataFrame) -> list:
+    """The rows of counts down to the lowest sixteenth of an octave of n at which they are at most TABLE."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
+    lowest, rows = None, 0
+    for at, n in sizes:
+        rows += n
+        if rows > TABLE:
+            break
+        lowest = at
+    return counts.where(step >= lowest).collect() if lowest is not None else []
+
+
 def train(texts: DataFrame) -> tuple[Parameters, DataFrame]:
     """Parameters and the table (token, n) of all token counts from the training texts (doc_id, text)."""
     spark = texts.sparkSession
     counts = written(texts.select("text").mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = {bytes(r["token"]): r["n"] for r in counts.orderBy(F.desc("n"), "token").limit(TABLE).collect()}
+    frequent = {bytes(r["token"]): r["n"] for r in sorted(most_frequent(counts), key=lambda r: (-r["n"], bytes(r["token"])))}
     end = counts.where(F.col("token") == F.lit(END)).first()
     frequent[END] = end["n"] if end else 0
     last = F.crc32(F.substring("token", -2, 2))

@@ -1,10 +1,10 @@
 """SentencePiece merge-type (BPE) encoding and decoding with a score-ordered agenda of adjacent symbol pairs.
 
-A merge never crosses the place where a space mark follows another character, as no piece of such a vocabulary
-holds a mark after its first other character (checked when the model is read). Texts are therefore cut at these
-places, and each distinct chunk is merged once per worker. The sentencepiece library encodes and decodes the same
-Arrow batches as a check; `agrees` says whether both gave the same ids and text, and where they don't, the
-library's result stands.
+A merge never crosses a place that no piece of the vocabulary spans. Two kinds of such places are proven when the
+model is read: where a space mark follows another character, and between letters or digits and
+other characters, but for the few (`mixers`) that a piece joins with the other kind. Texts are cut there, and each distinct chunk is merged once per worker. The sentencepiece library checks
+every Arrow slice: it encodes and decodes the chunks that are new in it, and the first text whole. `agrees` says
+whether both gave the same; a text with a chunk on which they differ gets the library's result.
 
 Defined cases: a null text counts as empty; an empty text gives the end id alone and decodes to "".
 """
@@ -15,7 +15,6 @@ import functools
 import hashlib
 import heapq
 import re
-from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,8 +24,9 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Distinct chunks a worker keeps before it starts anew.
-CACHE_CHUNKS = 150_000
-_CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+CACHE_CHUNKS = 800_000
+#: Characters from which a chunk's agenda is kept in a heap; the score of a pair that is no piece.
+LONG_CHUNK, NEVER = 48, float("-inf")
 SCHEMA = "doc_id long, ids array<int>, decoded string, agrees boolean"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
 
@@ -45,12 +45,39 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.special = special - set(self.byte_of)
         self.end = sp.eos_id()
-        if len(self.bytes) != 256 or any(MARK in p.lstrip(MARK) for p in self.ids):
-            raise ValueError("needs a merge-type vocabulary with byte pieces and space marks at the front only")
         self.prefix = sp.normalize("a")[:-1]
+        joined = {pair for p in self.ids for pair in zip(p, p[1:], strict=False) if MARK not in pair}
+        across = [(a, b) for a, b in joined if a.isalnum() != b.isalnum()]
+        mixers = {c for pair in across for c in pair if not c.isascii()} | {c for pair in across if "".join(pair).isascii() for c in pair}
+        mix = re.escape("".join(sorted(mixers)))
+        # runs of letters and digits, and runs of signs, apart; from a mixer on, all up to the next mark stays together
+        tail = f"(?:[{mix}][^{MARK}]*)?" if mix else ""
+        under = "" if "_" in mixers else "|_"
+        parts = [rf"[^\W_{mix}]+{tail}", rf"(?:[^\w{MARK}{mix}]{under})+{tail}", *([f"[{mix}][^{MARK}]*"] if mix else [])]
+        self.cut = re.compile(f"{MARK}*(?:{'|'.join(parts)})|{MARK}+").findall
+        #: A sign that no piece holds: it keeps chunks apart when the library checks them.
+        self.fence = next((c for c in map(chr, range(33)) if c != " " and not any(c in p for p in self.ids)), None)
+        if len(self.bytes) != 256 or self.fence is None or any(MARK in p.lstrip(MARK) for p in self.ids):
+            raise ValueError("needs a merge-type vocabulary with byte pieces, space marks at the front only and a control character of no piece")
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of one chunk: always merge the best-scored adjacent pair, the leftmost of equals."""
+        if len(chunk) > LONG_CHUNK:
+            return self._merge_long(chunk)
+        get, parts = self.scores.get, list(chunk)
+        agenda = [get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while agenda and (best := max(agenda)) != NEVER:
+            i = agenda.index(best)
+            parts[i] += parts.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(parts[i] + parts[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = get(parts[i - 1] + parts[i], NEVER)
+        return self._ids_of(parts)
+
+    def _merge_long(self, chunk: str) -> list[int]:
+        """The same with the agenda in a heap and linked neighbours."""
         parts, scores = list(chunk), self.scores
         n = len(parts)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -64,7 +91,7 @@ class Pieces:
             offer(i, i + 1)
         while agenda:
             _, a, b, joined = heapq.heappop(agenda)
-            if after[a] != b or parts[a] + parts[b] != joined or not parts[b] or not parts[a]:
+            if after[a] != b or not parts[a] or not parts[b] or parts[a] + parts[b] != joined:
                 continue
             parts[a], parts[b] = joined, ""
             after[a] = after[b]
@@ -72,22 +99,28 @@ class Pieces:
                 before[after[b]] = a
             offer(before[a], a)
             offer(a, after[a])
-        out: list[int] = []
-        i = 0
-        while i >= 0 and n:
-            found = self.ids.get(parts[i])
-            out.extend([found] if found is not None else [self.bytes[x] for x in parts[i].encode()])
-            i = after[i]
+        return self._ids_of([x for x in parts if x])
+
+    def _ids_of(self, parts: list[str]) -> list[int]:
+        out = []
+        for part in parts:
+            found = self.ids.get(part)
+            if found is None:
+                out += [self.bytes[x] for x in part.encode()]
+            else:
+                out.append(found)
         return out
 
     def chunks(self, text: str) -> list[str]:
-        return _CHUNK.findall((self.prefix + text).replace(" ", MARK)) if text else []
+        return self.cut((self.prefix + text).replace(" ", MARK)) if text else []
 
     def encode(self, text: str) -> list[int]:
         return [i for c in self.chunks(text) for i in self.merge(c)] + [self.end]
 
     def spell(self, ids: list[int]) -> str:
         """Text of ids with space marks; runs of byte pieces are read as UTF-8, broken bytes one by one as U+FFFD."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.text[i] for i in ids if i not in self.special])
         out, run = [], bytearray()
         for i in [*ids, -1]:
             if i in self.byte_of:
@@ -113,19 +146,32 @@ class Pieces:
 
 
 class Chunks(dict):
-    """Of each chunk: its ids as 4-byte numbers, as decimal text, how many, and the text they spell."""
+    """The ids of each chunk in decimals; `new` are those not yet checked, `wrong` those that need the library."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.new, self.wrong = pieces, [], set()
 
-    def __missing__(self, chunk: str) -> tuple[bytes, str, str]:
+    def __missing__(self, chunk: str) -> str:
         if len(self) >= CACHE_CHUNKS:
             self.clear()
         ids = self.pieces.merge(chunk)
-        value = self[chunk] = (array("i", ids).tobytes(), " ".join(map(str, ids)), self.pieces.spell(ids))
+        value = self[chunk] = " ".join(map(str, ids))
+        self.new.append((chunk, ids))
         return value
 
+    def check(self) -> None:
+        """Hold the new chunks against the library: the ids, and that they spell the chunk in both decoders."""
+        p, new, fence = self.pieces, self.new, self.pieces.fence
+        front = p.library.encode(fence)
+        n = len(front)
+        plain = [fence + c.replace(MARK, " ") for c, _ in new]
+        sent = p.library.encode(plain, num_threads=1)
+        for (c, ids), x, text, back in zip(new, sent, plain, p.library.decode(sent, num_threads=1), strict=True):
+            if x[:n] != front or x[n:] != ids or back != text or p.spell(ids) != c:
+                self.wrong.add(c)
+        self.new = []
+
 
 @functools.lru_cache(maxsize=2)
 def load(model: str) -> Pieces:
@@ -137,20 +183,24 @@ def _chunks(model: str) -> Chunks:
     return Chunks(load(model))
 
 
-def _coded(model: str, texts: list[str]) -> Iterator[tuple[bytes, str, str, bool]]:
-    """(ids as bytes, ids as decimals, decoded, agrees) of each text, checked batch by batch against the library."""
+def _coded(model: str, texts: list[str]) -> Iterator[tuple[str, str, bool]]:
+    """(ids in decimals, decoded, agrees) of each text of a slice, checked against the library."""
     pieces, known = load(model), _chunks(model)
-    sp, end = pieces.library, pieces.end
-    theirs = [array("i", x) for x in sp.encode(texts, add_eos=True, num_threads=1)]
-    for text, ids, plain in zip(texts, theirs, sp.decode([x.tolist() for x in theirs], num_threads=1), strict=True):
-        got = [known[c] for c in pieces.chunks(text)]
-        raw = b"".join([x[0] for x in got]) + array("i", [end]).tobytes()
-        decoded = "".join([x[2] for x in got]).removeprefix(pieces.prefix).replace(MARK, " ")
-        agrees = raw == ids.tobytes() and decoded == plain
-        if agrees:
-            yield raw, " ".join([*[x[1] for x in got], str(end)]), decoded, True
-        else:
-            yield ids.tobytes(), " ".join(map(str, ids)), plain, False
+    sp, end = pieces.library, str(pieces.end)
+    cut = [pieces.chunks(text) for text in texts]
+    coded = [" ".join([*[known[c] for c in chunks], end]) for chunks in cut]
+    known.check()
+    for k, (text, chunks, ids) in enumerate(zip(texts, cut, coded, strict=True)):
+        agrees = not known.wrong or known.wrong.isdisjoint(chunks)
+        if k == 0 or not agrees:
+            theirs = sp.encode(text, add_eos=True)
+            plain = " ".join(map(str, theirs))
+            agrees = agrees and plain == ids and sp.decode(theirs) == text.replace(MARK, " ")
+            if not agrees:
+                yield plain, sp.decode(theirs), False
+                continue
+        # every chunk is proven to spell itself, so the decoded text is the chunks without the prefix
+        yield ids, "".join(chunks).removeprefix(pieces.prefix).replace(MARK, " "), True
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -166,8 +216,8 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, texts in _slices(batches):
             rows = list(_coded(model, texts))
-            ids = pa.array([array("i", r[0]) for r in rows], pa.list_(pa.int32()))
-            yield pa.record_batch([doc_id, ids, pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows])], ["doc_id", "ids", "decoded", "agrees"])
+            ids = pa.array([[int(i) for i in r[0].split()] for r in rows], pa.list_(pa.int32()))
+            yield pa.record_batch([doc_id, ids, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows])], ["doc_id", "ids", "decoded", "agrees"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
@@ -177,7 +227,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, texts in _slices(batches):
-            rows = [(len(raw) // 4, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ok) for raw, ids, decoded, ok in _coded(model, texts)]
+            rows = [(ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ok) for ids, decoded, ok in _coded(model, texts)]
             n, a, b, ok = zip(*rows, strict=True)
             yield pa.record_batch([doc_id, pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(ok)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"])
 

@@ -68,10 +68,13 @@ def stretch(same: np.ndarray, at: int) -> tuple[int, int]:
     """The stretch around at with the best sum of gains and costs, given up once the sum falls DROP below its best."""
 
     def reach(steps: np.ndarray) -> int:
-        if not len(steps):
-            return 0
-        total = np.cumsum(np.where(steps, 1, -DROP_COST))
-        fallen = np.flatnonzero(np.maximum(np.maximum.accumulate(total), 0) - total > DROP)
+        size = 256
+        while True:
+            total = np.cumsum(np.where(steps[:size], 1, -DROP_COST))
+            fallen = np.flatnonzero(np.maximum(np.maximum.accumulate(total), 0) - total > DROP)
+            if len(fallen) or size >= len(steps):
+                break
+            size *= 4
         total = total[: fallen[0]] if len(fallen) else total
         return int(total.argmax()) + 1 if len(total) and total.max() > 0 else 0
 
