@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tenderflow.llm.storage import written
+from tenderflow.llm.words import alive
 
 SAMPLE, MODEL_WORDS, MODEL_GRAMS, LONGEST = 20_000, 50_000, 50_000, 4
 UNKNOWN = "und"
@@ -141,17 +142,9 @@ def fit(labelled: DataFrame) -> Model | None:
     return Model(words, most(parts, MODEL_GRAMS)) if words else None
 
 
-_KEPT: dict[str, Scores] = {}
-
-
 def _scores(model: Model | None) -> Scores | None:
     """The worker's table for this model; one is kept at a time."""
-    if model is None:
-        return None
-    if model.key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[model.key] = Scores(model)
-    return _KEPT[model.key]
+    return None if model is None else alive(("language", model.key), lambda: Scores(model))
 
 
 def judge(texts: list[str | None], scores: Scores | None) -> list[tuple[str, float, int]]:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tenderflow.llm.components import components
 from tenderflow.llm.storage import semi_join_ids, written
-from tenderflow.llm.words import WordHashes, byte_texts, mix, shingle_hashes, split_words
+from tenderflow.llm.words import byte_texts, mix, shingle_hashes, split_words, word_hashes
 
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS, PACKED = HASHES // ROWS, HASHES * BITS // 64
@@ -80,11 +80,8 @@ def pack(mins: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low << _SHIFT, axis=1).view(np.int64)
 
 
-_HASHES = WordHashes()
-
-
 def shingle_set(text: bytes | None) -> np.ndarray:
-    return np.unique(shingle_hashes(_HASHES.of(split_words(text))))
+    return np.unique(shingle_hashes(word_hashes(split_words(text))))
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

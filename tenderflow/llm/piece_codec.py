@@ -22,9 +22,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenderflow.llm.words import alive
+
 MARK = "▁"
-#: Distinct chunks a worker keeps before it starts anew.
-CACHE_CHUNKS = 800_000
+#: Distinct chunks after which a worker starts a new generation; it keeps the one before, so those in use stay.
+CACHE_CHUNKS = 250_000
 #: Characters from which a chunk's agenda is kept in a heap; the score of a pair that is no piece.
 LONG_CHUNK, NEVER = 48, float("-inf")
 SCHEMA = "doc_id long, ids array<int>, decoded string, agrees boolean"
@@ -150,11 +152,16 @@ class Chunks(dict):
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces, self.new, self.wrong = pieces, [], set()
+        self.pieces, self.old, self.new, self.wrong = pieces, {}, [], set()
 
     def __missing__(self, chunk: str) -> str:
         if len(self) >= CACHE_CHUNKS:
+            self.old = dict(self)
             self.clear()
+        value = self.old.get(chunk)
+        if value is not None:
+            self[chunk] = value
+            return value
         ids = self.pieces.merge(chunk)
         value = self[chunk] = " ".join(map(str, ids))
         self.new.append((chunk, ids))
@@ -178,9 +185,8 @@ def load(model: str) -> Pieces:
     return Pieces(model)
 
 
-@functools.lru_cache(maxsize=2)
 def _chunks(model: str) -> Chunks:
-    return Chunks(load(model))
+    return alive(("chunks", model), lambda: Chunks(load(model)))
 
 
 def _coded(model: str, texts: list[str]) -> Iterator[tuple[str, str, bool]]:

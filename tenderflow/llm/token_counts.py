@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenderflow.llm.words import alive
+
 #: Distinct pre-tokens a worker keeps before it starts anew.
 CACHE_TOKENS = 200_000
 #: Fixed pattern of the byte-level pre-tokenizer.
@@ -121,17 +123,12 @@ def prove(path: str) -> frozenset[str]:
     return load(path).proven()
 
 
-_KEPT: dict[str, Counts] = {}
-
-
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens and n_whole (pre-tokens that the shortcut counted) of every whole text."""
     whole = docs.sparkSession.sparkContext.broadcast(prove(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _KEPT.get(path)
-        if counts is None:
-            counts = _KEPT[path] = Counts(load(path), whole.value)
+        counts = alive(("token counts", path), lambda: Counts(load(path), whole.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

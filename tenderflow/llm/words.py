@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,17 @@ CACHE_WORDS = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+_ALIVE: dict[object, Any] = {}
+
+
+def alive(kind: object, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from batch to batch. One kind at a time: a worker that serves several operators holds the memory of one."""
+    if kind not in _ALIVE:
+        _ALIVE.clear()
+        _ALIVE[kind] = make()
+    return _ALIVE[kind]
+
+
 class WordHashes(dict):
     """64-bit hash of each word, kept for the words seen last."""
 
@@ -29,6 +41,11 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of words by the worker's cache."""
+    return alive(WordHashes, WordHashes).of(words)
+
+
 def split_words(text: bytes | None) -> list[bytes]:
     """bytes.lower() touches A-Z only and bytes.split() cuts at 0x20 and 0x09-0x0D only."""
     return text.lower().split() if text else []
