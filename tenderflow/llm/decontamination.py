@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderflow.llm.words import WordHashes, byte_texts, mix, split_words, stretch
+from tenderflow.llm.words import byte_texts, mix, split_words, stretch, word_hashes
 
 #: Positions each mask looks at.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 8, 9), (0, 1, 5, 7, 9, 10))
@@ -49,9 +49,8 @@ class Items:
     """Seeds of a block of benchmark items, sorted by hash, behind a bit table."""
 
     def __init__(self, rows: list[tuple[int, bytes]]):
-        hashes = WordHashes()
         self.ids = [i for i, _ in rows]
-        self.words = [hashes.of(split_words(text)) for _, text in rows]
+        self.words = [word_hashes(split_words(text)) for _, text in rows]
         self.bits = max(12, int(16 * len(MASKS) * sum(map(len, self.words))).bit_length())
         self.tables = []
         for mask in MASKS:
@@ -108,12 +107,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"].encode()) for r in rows])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items, hashes = Items(shared.value), WordHashes()
+            items = Items(shared.value)
             for batch in batches:
                 for part, texts in byte_texts(batch, "text"):
                     out = []
                     for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                        out += [(doc_id, *x) for x in items.overlaps(hashes.of(split_words(text)))]
+                        out += [(doc_id, *x) for x in items.overlaps(word_hashes(split_words(text)))]
                     if out:
                         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
                         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]

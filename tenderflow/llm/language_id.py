@@ -11,7 +11,6 @@ was learned. Ties go to the language first in the alphabet. Rows with null lang
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter
@@ -24,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tenderflow.llm.storage import written
-from tenderflow.llm.words import alive
+from tenderflow.llm.words import alive, release
 
 SAMPLE, MODEL_WORDS, MODEL_GRAMS, LONGEST = 20_000, 50_000, 50_000, 4
 UNKNOWN = "und"
+#: Distinct strings after which a counting worker hands on what it has.
+FLUSH = 100_000
 #: Words a worker keeps the scores of before it starts anew.
 CACHE_WORDS = 150_000
 #: Words after which further ones no longer make the score surer.
@@ -50,16 +51,31 @@ def word_grams(word: str) -> Iterator[str]:
     yield from word
 
 
+class Logs:
+    """Log frequencies in each language: one table for all strings."""
+
+    def __init__(self, rows: dict[str, int], table: np.ndarray):
+        self.rows, self.table = rows, table
+
+    def get(self, text: str) -> np.ndarray | None:
+        row = self.rows.get(text)
+        return None if row is None else self.table[row]
+
+
 class Model:
     def __init__(self, words: dict[str, dict[str, int]], grams: dict[str, dict[str, int]]):
         """words and grams: counts by language."""
         self.key, self.langs = uuid.uuid4().hex, sorted(words)
         self.words, self.grams = self._logs(words), self._logs(grams)
 
-    def _logs(self, counts: dict[str, dict[str, int]]) -> dict[str, np.ndarray]:
-        every = {w for c in counts.values() for w in c}
-        total = [sum(counts.get(x, {}).values()) + len(every) for x in self.langs]
-        return {w: np.array([math.log((counts.get(x, {}).get(w, 0) + 1) / t) for x, t in zip(self.langs, total, strict=True)]) for w in every}
+    def _logs(self, counts: dict[str, dict[str, int]]) -> "Logs":
+        every = sorted({w for c in counts.values() for w in c})
+        table = np.ones((len(every), len(self.langs)))
+        rows = dict(zip(every, range(len(every)), strict=True))
+        for k, lang in enumerate(self.langs):
+            for w, n in counts.get(lang, {}).items():
+                table[rows[w], k] += n
+        return Logs(rows, np.log(table / np.maximum(table.sum(0), 1)))
 
     def score(self, word: str) -> np.ndarray:
         known = self.words.get(word)
@@ -105,11 +121,12 @@ def fit(labelled: DataFrame) -> Model | None:
     sample = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         kept: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 kept.setdefault(lang, Counter()).update(words_of(text))
-                if sum(map(len, kept.values())) > 400_000:
+                if sum(map(len, kept.values())) > FLUSH:
                     yield from rows(kept)
                     kept = {}
         yield from rows(kept)
@@ -119,12 +136,15 @@ def fit(labelled: DataFrame) -> Model | None:
             yield pa.record_batch([pa.array([lang] * len(counter), pa.string()), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], ["lang", "word", "n"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         kept: dict[str, Counter] = {}
         for batch in batches:
             for lang, word, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 counter = kept.setdefault(lang, Counter())
                 for g in word_grams(word):
                     counter[g] += n
+                if len(counter) > FLUSH:
+                    yield from rows({lang: kept.pop(lang)})
         yield from rows(kept)
 
     def most(counts: DataFrame, limit: int) -> dict[str, dict[str, int]]:

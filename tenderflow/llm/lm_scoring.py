@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.llm.storage import written
-from tenderflow.llm.words import byte_texts, split_words
+from tenderflow.llm.words import byte_texts, release, split_words
 
 VOCAB, CLASSES, TABLE, SIZE, ROUNDS = 4_096, 64, 100_000, 16, 2
 NOISE, BATCH, CHUNK_BYTES, RATE, SEED = 128, 4_096, 2_400_000, 0.1, 7
@@ -41,6 +41,7 @@ def class_of(token: bytes) -> int:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     kept: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -166,6 +167,7 @@ def train(texts: DataFrame) -> tuple[Parameters, DataFrame]:
         shared = spark.sparkContext.broadcast(p)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            release()
             p, rng = shared.value, np.random.default_rng(SEED + turn)
             p.context, p.word, p.bias = p.context.copy(), p.word.copy(), p.bias.copy()
             speed = tuple(np.ones_like(t) for t in (p.context, p.word, p.bias))
@@ -205,6 +207,7 @@ def score(docs: DataFrame, p: Parameters, counts: DataFrame) -> DataFrame:
     schema = "row string, doc_id long, token binary, times long, n_tokens long, n_known long, base double, model double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         p = shared.value
         sums = p.log_sums()
         base = np.log10(p.total + p.kinds + 1.0)

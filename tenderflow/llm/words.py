@@ -28,6 +28,11 @@ def alive(kind: object, make: Callable[[], Any]) -> Any:
     return _ALIVE[kind]
 
 
+def release() -> None:
+    """Lets go of what the worker keeps: for steps that need the memory themselves."""
+    _ALIVE.clear()
+
+
 class WordHashes(dict):
     """64-bit hash of each word, kept for the words seen last."""
 
