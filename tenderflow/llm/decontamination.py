@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenderflow.llm.storage import small_batches
 from tenderflow.llm.words import byte_texts, mix, split_words, stretch, word_hashes
 
 #: Positions each mask looks at.
@@ -96,6 +97,7 @@ class Items:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document (doc_id, text) and item (item_id, text) that overlap."""
     spark = docs.sparkSession
+    small_batches(spark)
     size = F.size(F.split("text", r"[ \t-\r]+"))
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").where(size >= MIN_ITEM)
     total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]

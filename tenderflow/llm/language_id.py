@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tenderflow.llm.storage import written
+from tenderflow.llm.storage import small_batches, written
 from tenderflow.llm.words import alive, release
 
 SAMPLE, MODEL_WORDS, MODEL_GRAMS, LONGEST = 20_000, 50_000, 50_000, 4
@@ -116,6 +116,7 @@ class Scores(dict):
 
 def fit(labelled: DataFrame) -> Model | None:
     """Model from (doc_id, text, lang); null when no row teaches."""
+    small_batches(labelled.sparkSession)
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
     ids = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
     sample = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
@@ -184,6 +185,7 @@ def judge(texts: list[str | None], scores: Scores | None) -> list[tuple[str, flo
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) and n_words of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +201,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs, with all their columns, whose language is told with a score of at least REJECT_BELOW."""
+    small_batches(docs.sparkSession)
     shared, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

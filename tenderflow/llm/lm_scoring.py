@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderflow.llm.storage import written
+from tenderflow.llm.storage import small_batches, written
 from tenderflow.llm.words import byte_texts, release, split_words
 
 VOCAB, CLASSES, TABLE, SIZE, ROUNDS = 4_096, 64, 100_000, 16, 2
@@ -155,6 +155,7 @@ def most_frequent(counts: DataFrame) -> list:
 def train(texts: DataFrame) -> tuple[Parameters, DataFrame]:
     """Parameters and the table (token, n) of all token counts from the training texts (doc_id, text)."""
     spark = texts.sparkSession
+    small_batches(spark)
     counts = written(texts.select("text").mapInArrow(_count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = {bytes(r["token"]): r["n"] for r in sorted(most_frequent(counts), key=lambda r: (-r["n"], bytes(r["token"])))}
@@ -203,6 +204,7 @@ def train(texts: DataFrame) -> tuple[Parameters, DataFrame]:
 
 def score(docs: DataFrame, p: Parameters, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(p)
     schema = "row string, doc_id long, token binary, times long, n_tokens long, n_known long, base double, model double"
 

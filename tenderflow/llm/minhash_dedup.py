@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.llm.components import components
-from tenderflow.llm.storage import semi_join_ids, written
+from tenderflow.llm.storage import semi_join_ids, small_batches, written
 from tenderflow.llm.words import byte_texts, mix, shingle_hashes, split_words, word_hashes
 
 HASHES, ROWS, BITS = 128, 4, 4
@@ -167,6 +167,7 @@ def _pairs(found: DataFrame, a: str, b: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(docs.mapInArrow(_signatures, SCHEMA), "signatures")
     usable = rows.where("h1 IS NOT NULL AND doc_id IS NOT NULL")

@@ -22,6 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenderflow.llm.storage import small_batches
 from tenderflow.llm.words import alive
 
 MARK = "▁"
@@ -218,6 +219,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[
 
 def encode_decode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids (with the end id), the decoded text, and whether the library agrees."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, texts in _slices(batches):
@@ -230,6 +232,7 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
     """What encode_decode gives, as counts and SHA-256 digests made in the same pass: no id list leaves the worker."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, texts in _slices(batches):

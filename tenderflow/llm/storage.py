@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Most ids that a broadcast may carry (8 bytes each); larger lists take a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: Spark's setting for the most bytes of an Arrow batch, and the value used where it is unset.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4194304b"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, since texts may be long, where the session leaves that open."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: it survives lost executors."""
     spark = df.sparkSession

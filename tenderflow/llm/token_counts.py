@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenderflow.llm.storage import small_batches
 from tenderflow.llm.words import alive
 
 #: Distinct pre-tokens a worker keeps before it starts anew.
@@ -125,6 +126,7 @@ def prove(path: str) -> frozenset[str]:
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens and n_whole (pre-tokens that the shortcut counted) of every whole text."""
+    small_batches(docs.sparkSession)
     whole = docs.sparkSession.sparkContext.broadcast(prove(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

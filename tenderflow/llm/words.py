@@ -84,6 +84,7 @@ def byte_texts(batch: pa.RecordBatch, name: str, rows: int = 512) -> Iterator[tu
     for at in range(0, batch.num_rows, rows):
         part = batch.slice(at, rows)
         yield part, part.column(part.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
+    pa.default_memory_pool().release_unused()
 
 
 def stretch(same: np.ndarray, at: int) -> tuple[int, int]:
