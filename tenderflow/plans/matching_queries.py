@@ -115,7 +115,7 @@ def q_token_fallback_join(t: Tables) -> DataFrame:
     return probe.groupBy("p_partkey").agg(F.min_by("id", F.when(F.col("id").isNotNull(), F.col("pos"))).alias("item"))
 
 
-@carrier("""WITH b AS (SELECT o_orderkey, o_custkey, o_orderpriority AS gc, o_totalprice // 50000 AS size, o_orderdate FROM orders), q AS (SELECT * FROM b WHERE o_orderkey % 50 = 0),
+@carrier("""WITH b AS (SELECT o_orderkey, o_custkey, o_orderpriority AS gc, floor(o_totalprice / 50000) AS size, o_orderdate FROM orders), q AS (SELECT * FROM b WHERE o_orderkey % 50 = 0),
   p AS (SELECT q.o_orderkey, b.o_orderkey AS prior, b.o_orderdate, CAST(3 * (q.o_custkey = b.o_custkey)::INT + 2 * (q.gc = b.gc)::INT + 2 * (q.size = b.size)::INT AS INTEGER) AS points FROM q JOIN b ON q.o_orderkey <> b.o_orderkey AND (q.o_custkey = b.o_custkey OR q.gc = b.gc))
   SELECT o_orderkey, prior, points AS score FROM p QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY points DESC, o_orderdate, prior) <= 3""")
 def q_prior_similar(t: Tables) -> DataFrame:
