@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.llm.storage import small_batches, written
-from tenderflow.llm.words import byte_texts, release, split_words
+from tenderflow.llm.words import CACHE_WORDS, byte_texts, release, split_words
 
 VOCAB, CLASSES, TABLE, SIZE, ROUNDS = 4_096, 64, 100_000, 16, 2
 NOISE, BATCH, CHUNK_BYTES, RATE, SEED = 128, 4_096, 2_400_000, 0.1, 7
@@ -40,6 +40,24 @@ def class_of(token: bytes) -> int:
     return zlib.crc32(token[-2:]) % CLASSES
 
 
+class TokenRows(dict):
+    """Row of each token of a table; others get -1 less their class, kept for those seen last."""
+
+    def __init__(self, table: dict[bytes, int]):
+        super().__init__(table)
+        self.table = table
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= len(self.table) + CACHE_WORDS:
+            self.clear()
+            self.update(self.table)
+        value = self[token] = -1 - class_of(token)
+        return value
+
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
     kept: Counter = Counter()
@@ -86,10 +104,9 @@ class Parameters:
         self.word = rng.normal(0, 0.1, (len(known), SIZE)).astype(np.float32)
         self.bias = np.log(self.unigram).astype(np.float32)
 
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        """Ids of tokens; those outside the vocabulary get their class's."""
-        first, found = self.first_class, [self.ids.get(w, -1) for w in tokens]
-        return np.array([i if i >= 0 else first + class_of(w) for i, w in zip(found, tokens, strict=True)], np.int64)
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """Ids of vocabulary rows as TokenRows gives them; those outside get their class's."""
+        return np.where(rows < 0, self.first_class - 1 - rows, rows)
 
     def log_sums(self) -> np.ndarray:
         """Natural log of the normaliser of every context, by matrix products over blocks of contexts."""
@@ -128,13 +145,13 @@ def nce(p: Parameters, before: np.ndarray, after: np.ndarray, weight: np.ndarray
             table[own] += RATE * slope / np.sqrt(sums[own])
 
 
-def _pairs(texts: list[bytes | None], p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def _pairs(texts: list[bytes | None], p: Parameters, lookup: TokenRows) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Distinct pairs of neighbouring ids (an end before and after each text), their counts, and how many in all."""
     tokens = [END]
     for text in texts:
         tokens += split_words(text)
         tokens.append(END)
-    ids, size = p.of(tokens), p.first_class + CLASSES
+    ids, size = p.of(lookup.of(tokens)), p.first_class + CLASSES
     pair, weight = np.unique(ids[:-1] * size + ids[1:], return_counts=True)
     return pair // size, pair % size, weight, len(tokens) - 1
 
@@ -169,6 +186,7 @@ def train(texts: DataFrame) -> tuple[Parameters, DataFrame]:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             release()
+            lookup = TokenRows(shared.value.ids)
             p, rng = shared.value, np.random.default_rng(SEED + turn)
             p.context, p.word, p.bias = p.context.copy(), p.word.copy(), p.bias.copy()
             speed = tuple(np.ones_like(t) for t in (p.context, p.word, p.bias))
@@ -177,7 +195,7 @@ def train(texts: DataFrame) -> tuple[Parameters, DataFrame]:
             size = 0
 
             def learn() -> int:
-                before, after, weight, n = _pairs(kept, p)
+                before, after, weight, n = _pairs(kept, p, lookup)
                 nce(p, before, after, weight, rng, speed)
                 return n
 
@@ -215,25 +233,34 @@ def score(docs: DataFrame, p: Parameters, counts: DataFrame) -> DataFrame:
         base = np.log10(p.total + p.kinds + 1.0)
         names = ["row", "doc_id", "token", "times", "n_tokens", "n_known", "base", "model"]
         kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        log_count = {w: np.log10(n + 1.0) for w, n in p.counts.items()}
+        lookup = TokenRows({w: i for i, w in enumerate(p.counts)})
+        id_of = np.array([p.ids.get(w, p.first_class + class_of(w)) for w in p.counts], np.int64)
+        number = np.array(list(p.counts.values()), np.int64)
+        log_count = np.log10(number + 1.0)
         for batch in batches:
             for part, texts in byte_texts(batch, "text", 128):
-                out: list[tuple] = []
-                for row, doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
+                own: list[tuple[int, int, float, float]] = []
+                place, rare, times = [], [], []
+                for k, text in enumerate(texts):
                     words = [*split_words(text), END]
-                    ids = p.of(words)
+                    rows = lookup.of(words)
+                    outer = rows < 0
+                    ids = np.where(outer, p.first_class - 1 - rows, id_of[np.maximum(rows, 0)])
                     before = np.append(0, ids[:-1])
                     logs = np.einsum("ij,ij->i", p.context[before], p.word[ids], dtype=np.float64) + p.bias[ids] - sums[before]
-                    outside = ids >= p.first_class
-                    model = logs.sum() / np.log(10) - p.class_log[ids[outside] - p.first_class].sum()
-                    found = [log_count.get(w) for w in words]
-                    known = [x for x in found if x is not None]
-                    model += sum([x for x, o in zip(found, outside.tolist(), strict=True) if o and x is not None])
-                    rare = Counter(w for w, x in zip(words, found, strict=True) if x is None)
-                    n_known = sum(x > 0 for x in known)
-                    out.append((row, doc_id, b" " + row.encode(), 0, len(words), n_known, sum(known) - len(words) * base, model))
-                    out += [(row, doc_id, w, n, 0, 0, 0.0, 0.0) for w, n in rare.items()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    outside, known = ids >= p.first_class, rows[~outer]
+                    model = logs.sum() / np.log(10) - p.class_log[ids[outside] - p.first_class].sum() + log_count[rows[outside & ~outer]].sum()
+                    own.append((len(words), int((number[known] > 0).sum()), log_count[known].sum() - len(words) * base, model))
+                    counts = Counter(map(words.__getitem__, np.flatnonzero(outer).tolist()))
+                    place += [k] * len(counts)
+                    rare += counts
+                    times += counts.values()
+                n = len(rare)
+                row, doc_id = (pa.concat_arrays([c, c.take(pa.array(place, pa.int64()))]) for c in (part.column(0), part.column(1)))
+                token = pa.array([b" " + x.encode() for x in part.column(0).to_pylist()] + rare, pa.binary())
+                figures = [np.append(np.array(c), np.zeros(n, np.array(c).dtype)) for c in zip(*own, strict=True)]
+                columns = [row, doc_id, token, np.append(np.zeros(len(own), np.int64), np.array(times, np.int64)), *figures]
+                yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text"))
     rows = docs.select(key.alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
