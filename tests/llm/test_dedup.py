@@ -107,6 +107,15 @@ def test_repeated_passages(spark, sayings):
     assert set(marked) == set(exact) | {30} and len(marked[30]) >= 58
 
 
+def test_a_later_passage_on_a_failed_diagonal(sayings):
+    """A shared header, other words, then a passage with two neighbouring substituted words, all at the same offset."""
+    header, passage = sayings(30, 1), sayings(60, 2, 10**6)
+    rough = [*passage[:20], "p", "q", *passage[22:]]
+    a, b = (np.array([hash(w) & (2**63 - 1) for w in [*header, *sayings(40, seed, 10**6), *x]], np.uint64) for seed, x in ((3, passage), (4, rough)))
+    found = substring_dedup.passages(a, b, np.array([4, 100]))
+    assert [(start, n) for start, n, _ in found] == [(70, 60)]
+
+
 def test_repeated_passages_of_the_table(spark, documents):
     docs = {r.doc_id: r.text for r in documents.collect()}
     marked: dict[int, set[int]] = {}
