@@ -116,6 +116,31 @@ def test_a_later_passage_on_a_failed_diagonal(sayings):
     assert [(start, n) for start, n, _ in found] == [(70, 60)]
 
 
+def test_variants_behind_a_decoy(spark, sayings):
+    """A chain of variants: document 1 holds only the phrases that give the minima, so no variant is explained by it."""
+    passage = sayings(60, 78, 10**6)
+
+    def tokens(text):
+        return substring_dedup.shingle_hashes(substring_dedup.word_hashes([w.encode() for w in text]))
+
+    docs = {1: [], 5: [*sayings(90, 5, 10**6), *passage, *sayings(90, 6, 10**6)]}
+    for salt in substring_dedup._SALT:
+        for _, c, _ in substring_dedup.compact_windows(substring_dedup.mix(tokens(passage) ^ salt), 8):
+            for k in range(50):
+                part = [f"fill{k}"] * 50 + passage[c : c + 5] + [f"fill{k}"] * 50
+                if substring_dedup.mix(tokens(part) ^ salt).argmin() == 50:
+                    docs[1] += part
+                    break
+    for i in (9, 12, 15):
+        rough = list(passage)
+        rough[30] = f"new{i}"
+        docs[i] = [*sayings(80 + i, 10 * i, 10**6), *rough, *sayings(90, 10 * i + 1, 10**6)]
+    rows = substring_dedup.repeated_passages(frame(spark, {i: " ".join(w) for i, w in docs.items()})).collect()
+    for i in (9, 12, 15):
+        marked = {k for r in rows if r.doc_id == i for k in range(r.start_word, r.start_word + r.n_words)}
+        assert len(marked & set(range(80 + i, 140 + i))) >= 58
+
+
 def test_repeated_passages_of_the_table(spark, documents):
     docs = {r.doc_id: r.text for r in documents.collect()}
     marked: dict[int, set[int]] = {}
