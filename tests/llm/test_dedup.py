@@ -116,6 +116,17 @@ def test_a_later_passage_on_a_failed_diagonal(sayings):
     assert [(start, n) for start, n, _ in found] == [(70, 60)]
 
 
+def test_passages_over_gaps(sayings):
+    """One word inserted or deleted in the middle, and five neighbouring words replaced: the parts alone are too short."""
+    short, long = sayings(60, 2, 10**6), sayings(80, 3, 10**6)
+    cases = [(short, [*short[:30], "p", *short[30:]]), ([*short[:30], "p", *short[30:]], short), (long, [*long[:38], *"pqrst", *long[43:]])]
+    for x, y in cases:
+        a, b = (np.array([hash(w) & (2**63 - 1) for w in [*sayings(40, seed, 10**6), *z, *sayings(40, seed + 1, 10**6)]], np.uint64) for seed, z in ((5, x), (7, y)))
+        for anchor in (45, 40 + len(x) - 10):
+            found = substring_dedup.passages(a, b, np.array([anchor]))
+            assert [(start, n) for start, n, _ in found] == [(40, len(x))] and found[0][2] >= 0.75
+
+
 def test_variants_behind_a_decoy(spark, sayings):
     """A chain of variants: document 1 holds only the phrases that give the minima, so no variant is explained by it."""
     passage = sayings(60, 78, 10**6)
