@@ -2,7 +2,7 @@
 
 Each mask looks at six of eight to eleven neighbouring words and ignores the others, so a substituted word spoils
 only the seeds that look at it. The seeds' hashes of the benchmark items meet those of every training position;
-each hit is verified around its alignment: from the hit outwards, words that match gain 1 and words that don't
+each hit, one for each exact run, is verified around its alignment: from the hit outwards, words that match gain 1 and words that don't
 lose DROP_COST, and the stretch with the best sum is the overlap. It counts from MIN_OVERLAP words on (all words of
 shorter items) with at least PERCENT per cent of them equal.
 
@@ -65,8 +65,8 @@ class Items:
             self.tables.append((mask, table, value[order], item[order], place[order]))
 
     def hits(self, words: np.ndarray) -> set[tuple[int, int, int]]:
-        """(item, diagonal, place in item) of seeds that a text shares; one place for each item and diagonal."""
-        out: dict[tuple[int, int], int] = {}
+        """(item, diagonal, place in item) of all seeds that a text shares."""
+        out: set[tuple[int, int, int]] = set()
         for mask, table, value, item, place in self.tables:
             own = seeds(words, mask)
             near = np.flatnonzero(table[own >> np.uint64(64 - self.bits)])
@@ -75,18 +75,24 @@ class Items:
             first, last = np.searchsorted(value, own[near], "left"), np.searchsorted(value, own[near], "right")
             for at, a, b in zip(near.tolist(), first.tolist(), last.tolist(), strict=True):
                 for k in range(a, b):
-                    out.setdefault((int(item[k]), at - int(place[k])), int(place[k]))
-        return {(i, d, p) for (i, d), p in out.items()}
+                    out.add((int(item[k]), at - int(place[k]), int(place[k])))
+        return out
 
     def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item_id, start word, words, equal words, item's words) of the verified overlaps."""
         best: dict[int, tuple[int, int, int]] = {}
+        last, run_end = None, 0
         for i, diagonal, place in sorted(self.hits(words)):
+            if last == (i, diagonal) and place < run_end:
+                continue
             own = self.words[i]
             if i in best and best[i][0] == len(own):
                 continue
             low, high = max(0, -diagonal), min(len(own), len(words) - diagonal)
             same = own[low:high] == words[low + diagonal : high + diagonal]
+            # hits of one exact run give the same stretch
+            breaks = np.flatnonzero(~same[place - low :])
+            last, run_end = (i, diagonal), place + int(breaks[0]) if len(breaks) else len(own)
             a, b = stretch(same, place - low)
             equal = int(same[a:b].sum())
             if b - a >= min(MIN_OVERLAP, len(own)) and 100 * equal >= PERCENT * (b - a) and (i not in best or b - a > best[i][0]):

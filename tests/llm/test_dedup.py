@@ -188,6 +188,15 @@ def test_contaminated(spark, sayings):
     assert rows[3, 4].n_equal == 30 and rows[3, 4].start_word == 20 and rows[9, 7].n_words == 30 and rows[9, 7].n_equal == 27 and rows[12, 2].n_words == 15
 
 
+def test_two_parts_on_one_diagonal(sayings):
+    """Ten words quoted, six altered, then thirty quoted: the second part counts, though the first is too short."""
+    item = sayings(46, 900, 10**6)
+    text = [*sayings(20, 901, 10**6), *item[:10], *"abcdef", *item[16:], *sayings(20, 902, 10**6)]
+    items = decontamination.Items([(7, " ".join(item).encode())])
+    found = items.overlaps(decontamination.word_hashes([w.encode() for w in text]))
+    assert found == [(7, 36, 30, 30, 46)]
+
+
 def test_contaminated_in_the_table(spark, documents, folder):
     """Every document that holds twelve words in a row of an item is found, and what is found is real."""
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
