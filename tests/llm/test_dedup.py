@@ -152,6 +152,33 @@ def test_variants_behind_a_decoy(spark, sayings):
         assert len(marked & set(range(80 + i, 140 + i))) >= 58
 
 
+def test_near_passages_behind_fragments(spark, sayings):
+    """Pairs of passages of 60 words with one substituted word; for each, three smaller documents hold 49 words of it.
+
+    All pairs are near-duplicates by brute force (similarity 51 / 61); at least nine of ten must be found in full.
+    """
+    docs, places = {}, {}
+    for k in range(60):
+        passage = sayings(60, 7000 + k, 10**6)
+        for d in range(3):
+            docs[10 * k + d] = [*sayings(70, 20_000 + 10 * k + d, 10**6), *passage[4 * d : 4 * d + 49], *sayings(50, 30_000 + 10 * k + d, 10**6)]
+        rough = list(passage)
+        rough[10 + k % 40] = "changed"
+        docs[10 * k + 5] = [*sayings(90, 40_000 + k, 10**6), *passage, *sayings(60, 50_000 + k, 10**6)]
+        docs[10 * k + 6] = [*sayings(40 + k, 60_000 + k, 10**6), *rough, *sayings(60, 70_000 + k, 10**6)]
+        places[10 * k + 6] = (10 * k + 5, set(range(40 + k, 100 + k)))
+    texts = {i: " ".join(w) for i, w in docs.items()}
+    for i, (match, span) in places.items():
+        x, y = shingles(" ".join(docs[i][min(span) : max(span) + 1])), shingles(" ".join(docs[match][90:150]))
+        assert 4 * len(x & y) >= 3 * len(x | y)
+    marked: dict[int, set[int]] = {}
+    for r in substring_dedup.repeated_passages(frame(spark, texts)).collect():
+        marked.setdefault(r.doc_id, set()).update(range(r.start_word, r.start_word + r.n_words))
+    found = sum(len(span & marked.get(i, set())) >= 58 for i, (_, span) in places.items())
+    print("near passages found:", found, "of", len(places))
+    assert found >= 0.9 * len(places)
+
+
 def test_repeated_passages_of_the_table(spark, documents):
     docs = {r.doc_id: r.text for r in documents.collect()}
     marked: dict[int, set[int]] = {}
