@@ -3,8 +3,8 @@
 A merge never crosses a place that no piece of the vocabulary spans. Two kinds of such places are proven when the
 model is read: where a space mark follows another character, and between letters or digits and
 other characters, but for the few (`mixers`) that a piece joins with the other kind. Texts are cut there, and each distinct chunk is merged once per worker. The sentencepiece library checks
-every Arrow slice: it encodes and decodes the chunks that are new in it, and the first text whole. `agrees` says
-whether both gave the same; a text with a chunk on which they differ gets the library's result.
+every Arrow slice: it encodes and decodes the chunks that are new in it, and the first text whole. The decoded text is
+read back from the document's ids. `agrees` says whether both gave the same; a text with a chunk on which they differ gets the library's result.
 
 Defined cases: a null text counts as empty; an empty text gives the end id alone and decodes to "".
 """
@@ -47,6 +47,8 @@ class Pieces:
         self.bytes = {int(self.text[i][1:-1], 16): i for i in range(size) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.special = special - set(self.byte_of)
+        #: Text of each id in decimals, but for byte pieces, which are read together.
+        self.spelled = {str(i): "" if i in self.special else x for i, x in enumerate(self.text) if i not in self.byte_of}
         self.end = sp.eos_id()
         self.prefix = sp.normalize("a")[:-1]
         joined = {pair for p in self.ids for pair in zip(p, p[1:], strict=False) if MARK not in pair}
@@ -147,6 +149,14 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         return self.spell(ids).removeprefix(self.prefix).replace(MARK, " ")
 
+    def decode_decimals(self, ids: str) -> str:
+        """What decode gives for ids in decimals; without byte pieces each decimal is looked up as it stands."""
+        parts = ids.split(" ")
+        try:
+            return "".join(map(self.spelled.__getitem__, parts)).removeprefix(self.prefix).replace(MARK, " ")
+        except KeyError:
+            return self.decode(list(map(int, parts)))
+
 
 class Chunks(dict):
     """The ids of each chunk in decimals; `new` are those not yet checked, `wrong` those that need the library."""
@@ -206,8 +216,7 @@ def _coded(model: str, texts: list[str]) -> Iterator[tuple[str, str, bool]]:
             if not agrees:
                 yield plain, sp.decode(theirs), False
                 continue
-        # every chunk is proven to spell itself, so the decoded text is the chunks without the prefix
-        yield ids, "".join(chunks).removeprefix(pieces.prefix).replace(MARK, " "), True
+        yield ids, pieces.decode_decimals(ids), True
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +14,10 @@ BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4194
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset a folder in the session's warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tenderflow-")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

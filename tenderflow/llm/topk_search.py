@@ -1,10 +1,12 @@
 """Exact top-k inner-product search by Fagin's threshold algorithm over sorted per-dimension lists.
 
 Vectors become integers floor(256 x). Candidates are dealt into blocks of at most about BLOCK vectors by a hash of
-their id; a block keeps, for every dimension, its vectors in order of that component. A query reads each list from
-the end that helps it, a run at a time, scores what it has not seen, and stops when the threshold (the sum of the
-frontier's contributions) is below its kth score; on equality it reads on, as a smaller id may still win. The best
-k of each block are merged by rank.
+their id; a block keeps, for every dimension, its vectors in order of that component. A query reads lists from the end
+that helps it, those first whose frontier adds most to the threshold, in growing runs; it scores what it has not seen,
+and stops when the threshold (the sum of the frontier's contributions) is below its kth score; on equality it reads on,
+as a smaller id may still win. The first block's kth score is a floor in all other blocks. The best k of each block are
+merged by rank. How much of a block is scored depends on the data: where few dimensions carry most of the product,
+little; where 64 unlike dimensions weigh the same, no threshold of sorted lists can rule much out and almost all is.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; vectors of another
 length than the query's are no candidates of it; equal scores go to the smaller vec_id; repeated candidate rows each count, repeated query
@@ -21,11 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tenderflow.llm.storage import written
+
 BLOCK = 16_384
 #: Most queries (about) that one task answers; more are dealt into chunks, each of which meets every block.
 CHUNK = 4_096
-#: Entries of each list that a query reads between two looks at the threshold.
-RUN = 128
+#: Entries of a list that a query reads before its first look at the threshold; each further run is twice as long.
+RUN = 16
 SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -37,41 +41,55 @@ def integer_vectors(embeddings: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * 256)).cast("array<long>").alias("v"))
 
 
-def block_topk(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of the k best of one block for each query."""
+def block_topk(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None, scored: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """(query, candidate, score) of the k best of one block for each query; those below a query's floor may be left out.
+
+    Only the lists whose frontier still adds most to the threshold are read on, so that lists which cannot decide
+    anything stay unread. `scored` receives how many candidates each query scored.
+    """
     n, dims = v.shape
     lists = np.argsort(v, axis=0, kind="stable").T
     ordered = np.take_along_axis(v, lists.T, axis=0).T
+    middle = ordered[:, n // 2]
     exact = v.astype(np.float64) if np.abs(v).max(initial=0) * np.abs(queries).max(initial=0) * dims < 2**53 else v
     out = []
-    for query_id, q in zip(query_ids, queries, strict=True):
+    for query_id, q, floor in zip(query_ids, queries, [None] * len(queries) if floors is None else floors, strict=True):
         used = np.flatnonzero(q)
         up = q[used] > 0
+        usual = middle[used] * q[used]
+        depth = np.zeros(len(used), np.int64)
         seen = np.zeros(n, bool)
         best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        depth = 0
-        while depth < n:
-            step = min(depth + RUN, n)
+        step, count = RUN, 0
+        while not seen.all():
+            edge = np.where(up, ordered[used, n - 1 - depth], ordered[used, depth]) * q[used]
+            # unseen candidates stand no better in any list than its frontier; on equality a smaller id may still win
+            least = best[-1] if len(best) == k else None
+            least = floor if least is None or (floor is not None and floor > least) else least
+            if least is not None and depth.any() and int(edge.sum()) < least:
+                break
+            fresh = np.zeros(n, bool)
             if len(used):
-                near = np.concatenate([lists[used[~up], depth:step].ravel(), lists[used[up], n - step : n - depth].ravel()])
-                fresh = np.zeros(n, bool)
-                fresh[near] = True
-                fresh &= ~seen
-                rows = np.flatnonzero(fresh)
+                gain = edge - usual
+                for d in np.argsort(-gain, kind="stable")[: max(1, len(used) // 4)]:
+                    end = min(depth[d] + step, n)
+                    fresh[lists[used[d], n - end : n - depth[d]] if up[d] else lists[used[d], depth[d] : end]] = True
+                    depth[d] = min(end, n - 1)
+                step *= 2
             else:
-                rows, step = np.arange(n), n
-            seen[rows] = True
+                fresh[:] = True
+            fresh &= ~seen
+            seen |= fresh
+            rows = np.flatnonzero(fresh)
             rows = rows[ids[rows] != query_id]
+            count += len(rows)
             if len(rows):
                 scores = (exact[rows] @ q.astype(exact.dtype)).astype(np.int64)
                 best_ids, best = np.concatenate([best_ids, ids[rows]]), np.concatenate([best, scores])
                 order = np.lexsort((best_ids, -best))[:k] if len(best) <= 4 * k else _first(best_ids, best, k)
                 best_ids, best = best_ids[order], best[order]
-            depth = step
-            if len(best) == k and depth < n:
-                edge = np.where(up, ordered[used, n - depth], ordered[used, depth - 1])
-                if int((edge * q[used]).sum()) < best[-1]:
-                    break
+        if scored is not None:
+            scored.append(count)
         out += [(int(query_id), int(i), int(s)) for i, s in zip(best_ids, best, strict=True)]
     return out
 
@@ -94,16 +112,27 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) ->
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
     dealt = vectors.withColumn("block", one_of(blocks, "vec_id")).withColumn("chunk", every(chunks))
-    asked = queries.withColumn("chunk", one_of(chunks, "query_id")).withColumn("block", every(blocks))
+    asked = queries.withColumn("chunk", one_of(chunks, "query_id")).withColumn("floor", F.lit(None).cast("long"))
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
         for size, own in right.groupby(right["q"].map(len)):
             there = left[left["v"].map(len) == size]
             if len(there):
-                out += block_topk(there["vec_id"].to_numpy(), np.stack(there["v"].to_list()), own["query_id"].to_numpy(), np.stack(own["q"].to_list()), k)
+                floors = np.array([None if pd.isna(x) else int(x) for x in own["floor"]], object)
+                out += block_topk(there["vec_id"].to_numpy(), np.stack(there["v"].to_list()), own["query_id"].to_numpy(), np.stack(own["q"].to_list()), k, floors)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = dealt.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(run, SCHEMA)
+    def search(dealt: DataFrame, asked: DataFrame) -> DataFrame:
+        return dealt.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(run, SCHEMA)
+
+    found = search(dealt.where("block = 0"), asked.withColumn("block", F.lit(0)))
+    if blocks > 1:
+        # the kth score in the first block is a floor for all others
+        found = written(found, "first-block")
+        kth = F.when(F.count("*") >= k, F.element_at(F.sort_array(F.collect_list("score"), False), k))
+        floors = found.groupBy("query_id").agg(kth.alias("floor"))
+        rest = asked.drop("floor").join(floors, "query_id", "left").withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(blocks - 1))))
+        found = found.unionByName(search(dealt.where("block > 0"), rest))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -34,6 +34,25 @@ def test_ties_and_blocks(spark, spread):
     assert found(topk_search.topk(v, v.where("vec_id % 50 = 0"), 5, block=90)) == plain(rows, 5, lambda i: i % 50 == 0)
 
 
+@pytest.mark.parametrize("dims,decay,most", [(4, 1.0, 0.5), (64, 0.5, 0.5)])
+def test_the_threshold_stops_the_scan(dims, decay, most):
+    """Where few dimensions carry the product, a small share is scored, and the result is that of all pairs."""
+    rng = np.random.default_rng(7)
+    v = np.floor(256 * rng.normal(0, 1, (4000, dims)) * decay ** np.arange(dims)).astype(np.int64)
+    ids, asked, scored = np.arange(4000), np.arange(0, 4000, 200), []
+    rows = topk_search.block_topk(ids, v, asked, v[asked], 5, scored=scored)
+    for q in asked:
+        s = v @ v[q]
+        assert [(i, x) for a, i, x in rows if a == q] == [(i, s[i]) for i in sorted(set(ids) - {q}, key=lambda i: (-s[i], i))[:5]]
+    assert sum(scored) < most * 4000 * len(asked)
+
+
+def test_repeated_vectors(spark):
+    """Repeated candidate rows each count, repeated query rows are asked once."""
+    v = spark.createDataFrame([(0, [2, 1]), (0, [2, 1]), (1, [3, 0]), (1, [3, 0]), (2, [0, 1])], "vec_id long, v array<bigint>")
+    assert found(topk_search.topk(v, v.where("vec_id = 0"), 3)) == [(0, 1, 1, 6), (0, 2, 1, 6), (0, 3, 2, 1)]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5], "x"), (1, None, "x"), (2, [], "x"), (3, [1.0, None], "x"), (4, [nan, 1.0], "x"), (5, [inf, 1.0], "x"), (6, [-0.001, 2.0], "x"), (7, [1.0], "x"), (None, [1.0, 1.0], "x")]
