@@ -9,8 +9,10 @@ shorter items) with at least PERCENT per cent of them equal.
 The benchmark is dealt into blocks of about BLOCK_WORDS words, each broadcast by itself: what is sent stays bounded
 for any benchmark, and every block meets all documents.
 
-Defined cases: null and empty texts overlap with nothing; items of fewer than MIN_ITEM words, or without text or
-item_id, are too short to prove anything and are left out; repeated items each report; of several overlaps of a
+Items with fewer words than the widest mask are looked for whole: their words must stand side by side in a text.
+
+Defined cases: null and empty texts overlap with nothing; items without words or item_id are left out; repeated items
+and repeated document rows each report; extra columns are ignored; of several overlaps of a
 document with an item the longest counts, the first of equals.
 """
 
@@ -29,7 +31,7 @@ from tenderflow.llm.words import byte_texts, mix, split_words, stretch, word_has
 
 #: Positions each mask looks at.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 8, 9), (0, 1, 5, 7, 9, 10))
-MIN_ITEM, MIN_OVERLAP, PERCENT = 8, 12, 75
+MIN_OVERLAP, PERCENT = 12, 75
 BLOCK_WORDS = 200_000
 SCHEMA = "doc_id long, item_id long, start_word int, n_words int, n_equal int, item_words int"
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -42,7 +44,7 @@ def seeds(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
         return np.zeros(0, np.uint64)
     total = words[mask[0] : mask[0] + n] * _ODD[0]
     for k, at in enumerate(mask[1:], 1):
-        total += words[at : at + n] * _ODD[k]
+        total += words[at : at + n] * _ODD[k % len(_ODD)] * np.uint64(2 * (k // len(_ODD)) + 1)
     return mix(total + np.uint64(mask[-1]))
 
 
@@ -52,6 +54,11 @@ class Items:
     def __init__(self, rows: list[tuple[int, bytes]]):
         self.ids = [i for i, _ in rows]
         self.words = [word_hashes(split_words(text)) for _, text in rows]
+        #: Hashes of whole short items by their number of words, with the items of each.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i, words in enumerate(self.words):
+            if 0 < len(words) <= MASKS[-1][-1]:
+                self.short.setdefault(len(words), {}).setdefault(int(seeds(words, tuple(range(len(words))))[0]), []).append(i)
         self.bits = max(12, int(16 * len(MASKS) * sum(map(len, self.words))).bit_length())
         self.tables = []
         for mask in MASKS:
@@ -76,6 +83,10 @@ class Items:
             for at, a, b in zip(near.tolist(), first.tolist(), last.tolist(), strict=True):
                 for k in range(a, b):
                     out.add((int(item[k]), at - int(place[k]), int(place[k])))
+        for n, known in self.short.items():
+            own = seeds(words, tuple(range(n)))
+            for at in np.flatnonzero(np.isin(own, np.fromiter(known, np.uint64, len(known)))).tolist():
+                out.update((i, at, 0) for i in known[int(own[at])])
         return out
 
     def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -105,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     size = F.size(F.split("text", r"[ \t-\r]+"))
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").where(size >= MIN_ITEM)
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_WORDS))
     texts = docs.select(F.col("doc_id").cast("long"), "text")

@@ -2,7 +2,7 @@
 unseen word falls back to its character n-grams of the longest length of which any is known, down to one letter.
 
 Words are runs of letters, lower-cased. The model is fitted on at most SAMPLE labelled rows (a documented bound,
-those with the smallest hash of doc_id) and keeps at most MODEL_WORDS words and MODEL_GRAMS n-grams a language.
+those with the smallest hash of doc_id): all their words and n-grams count, so that bound alone limits the model.
 Every text is judged whole.
 
 Defined cases: a text that is null or has no letter gives `und` with score 0; so does every text when nothing
@@ -20,12 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tenderflow.llm.storage import small_batches, written
 from tenderflow.llm.words import alive, release
 
-SAMPLE, MODEL_WORDS, MODEL_GRAMS, LONGEST = 20_000, 50_000, 50_000, 4
+SAMPLE, LONGEST = 20_000, 4
 UNKNOWN = "und"
 #: Distinct strings after which a counting worker hands on what it has.
 FLUSH = 100_000
@@ -65,7 +64,7 @@ class Logs:
 class Model:
     def __init__(self, words: dict[str, dict[str, int]], grams: dict[str, dict[str, int]]):
         """words and grams: counts by language."""
-        self.key, self.langs = uuid.uuid4().hex, sorted(words)
+        self.key, self.langs = uuid.uuid4().hex, sorted(words.keys() | grams.keys())
         self.words, self.grams = self._logs(words), self._logs(grams)
 
     def _logs(self, counts: dict[str, dict[str, int]]) -> "Logs":
@@ -148,19 +147,17 @@ def fit(labelled: DataFrame) -> Model | None:
                     yield from rows({lang: kept.pop(lang)})
         yield from rows(kept)
 
-    def most(counts: DataFrame, limit: int) -> dict[str, dict[str, int]]:
-        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    def of(counts: DataFrame) -> dict[str, dict[str, int]]:
         out: dict[str, dict[str, int]] = {}
-        for r in counts.withColumn("rank", rank).where(F.col("rank") <= limit).select("lang", "word", "n").toLocalIterator():
-            out.setdefault(r["lang"], {})[r["word"]] = r["n"]
+        table = counts.select("lang", "word", "n").toArrow()
+        for lang, word, n in zip(*[c.to_pylist() for c in table.columns], strict=True):
+            out.setdefault(lang, {})[word] = n
         return out
 
     counts = written(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
-    words = most(counts.where("n > 1"), MODEL_WORDS)
-    if not words:
-        words = most(counts, MODEL_WORDS)
+    words = of(counts)
     parts = counts.mapInArrow(grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return Model(words, most(parts, MODEL_GRAMS)) if words else None
+    return Model(words, of(parts)) if words else None
 
 
 def _scores(model: Model | None) -> Scores | None:

@@ -11,10 +11,12 @@ sets. At similarity 0.75 the bands miss a pair with chance 5e-6, and the estimat
 
 No group is expanded into pairs. Equal sets fall together first. Then every document of a bucket is held against
 the bucket's smallest document alone; the confirmed links give provisional components. What is left are pairs
-within a bucket whose components differ: STARS rounds take two more pivots in each bucket, and a last round takes all
-pairs that still differ, so no link between components is lost. That round screens with FINE more minima, of which
+within a bucket whose components differ: STARS rounds take two more pivots in each bucket, and a last round compares all
+pairs that still differ, so no link between components is lost. These rounds screen with FINE more minima, of which
 one bit each is kept, made only for documents of such buckets: their estimate is sharp enough (standard deviation
-0.015) that few pairs below the wanted similarity reach the full sets.
+0.015) that few pairs below the wanted similarity reach the full sets, and only pairs that pass leave the join. A
+bucket of more than SALT such documents is dealt over tasks. Groups of equal sets with more than a WHOLE-th of all
+documents are joined by broadcast, as there are fewer than WHOLE of them.
 
 Defined cases: documents without words have an empty set, n_shingles 0 and are linked with nothing; rows that
 share a doc_id are one document in the links; a null doc_id is linked with nothing and kept; extra columns are
@@ -41,6 +43,8 @@ BANDS, PACKED = HASHES // ROWS, HASHES * BITS // 64
 #: Similarity in per cent of a link, and estimated similarity from which a pair is confirmed on full sets.
 PERCENT, SCREEN = 75, 0.55
 STARS = 1
+#: Documents of a bucket that one task takes; most broadcast groups of equal sets, and fewest documents of one.
+SALT, WHOLE, FEW = 4_000, 500_000, 1_000
 #: Minima of the last round's one-bit signatures; five standard deviations below the wanted similarity are let pass.
 FINE = 2_048
 #: Signature slots that may differ for the corrected estimate to reach SCREEN.
@@ -171,9 +175,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(docs.mapInArrow(_signatures, SCHEMA), "signatures")
     usable = rows.where("h1 IS NOT NULL AND doc_id IS NOT NULL")
-    groups = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    groups = written(usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "groups")
     packed = [f"s{i}" for i in range(PACKED)]
-    nodes = written(usable.join(groups, ["h1", "h2"]).where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands", *packed), "nodes")
+    own = groups.select("rep", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    nodes = written(usable.join(own, F.col("doc_id") == F.col("rep")).where("h1 = g1 AND h2 = g2").select("rep", F.col("n_shingles").alias("n"), "bands", *packed), "nodes")
     sig, bands = nodes.select("rep", "n", *packed), nodes.select("rep", "bands")
 
     keys = nodes.select("rep", F.explode("bands").alias("key"))
@@ -186,6 +191,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = confirm(best, docs)
     labels = components(links)
 
+    screen = None
     for last_round in [False] * STARS + [True]:
         known = labels.select(F.col("node").alias("rep"), "label")
         member = shared.join(known, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -195,17 +201,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         open_keys = minor.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("pivot2"))
         left = minor if last_round else minor.join(open_keys, "key").where("rep = pivot OR rep = pivot2")
         right = member.join(open_keys.select("key"), "key", "left_semi").select("key", "rep", "label", "hub_label")
-        screen = sig
-        if last_round:
+        if screen is None:
+            # the keys still open later are among these
             ids = written(right.select(F.col("rep").alias("doc_id")).distinct(), "ids")
             screen = written(semi_join_ids(docs, ids, "doc_id").mapInArrow(_fine, "rep long, " + ", ".join(f"{w} long" for w in FINE_WORDS)), "fine")
             screen = screen.join(sig.select("rep", "n"), "rep").join(bands, "rep")
-        left, right = left.select("key", "rep", "label").join(screen, "rep"), right.join(screen, "rep")
-        same_key = F.col("x.key") == F.col("y.key")
+        parts = left.groupBy("key").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
+        left = left.select("key", "rep", "label").join(parts, "key").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts").join(screen, "rep")
+        right = right.join(parts, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").join(screen, "rep")
+        same_key = (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt"))
         once = (F.col("y.label") == F.col("y.hub_label")) | (F.col("x.rep") < F.col("y.rep")) if last_round else F.lit(True)
         # of the buckets that two documents share, only the first brings their pair up
         first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.array_position("x.bands", F.col("x.key")) if last_round else F.lit(True)
-        found = left.alias("x").join(right.alias("y"), same_key & (F.col("x.label") != F.col("y.label")) & once & _may_link("x", "y", last_round) & first)
+        found = left.alias("x").join(right.alias("y"), same_key & (F.col("x.label") != F.col("y.label")) & once & _may_link("x", "y", True) & first)
         more = confirm(_pairs(found, "x", "y"), docs)
         if more.isEmpty():
             if last_round:
@@ -215,9 +223,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = components(links)
 
     final = labels.select(F.col("node").alias("rep"), "label")
-    member = usable.select("doc_id", "h1", "h2").join(groups, ["h1", "h2"]).join(final, "rep", "left")
-    out = rows.select("doc_id", "n_shingles", "h1", "h2").join(
-        member.groupBy("h1", "h2").agg(F.min(F.coalesce("label", "rep")).alias("component")), ["h1", "h2"], "left"
-    )
+    found = written(groups.join(final, "rep", "left").select("h1", "h2", "copies", F.coalesce("label", "rep").alias("component")), "classes")
+    large = F.col("copies") > max(FEW, rows.count() // WHOLE)
+    many, few = F.broadcast(found.where(large).drop("copies")), found.where(~large).drop("copies")
+    rows = rows.select("doc_id", "n_shingles", "h1", "h2")
+    out = rows.join(many, ["h1", "h2"]).unionByName(rows.join(many, ["h1", "h2"], "left_anti").join(few, ["h1", "h2"], "left"))
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))

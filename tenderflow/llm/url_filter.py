@@ -1,15 +1,17 @@
 """URL filter: rules first, else a character language-model ratio. DataFrame functions only.
 
-URLs that a rule decides teach two smoothed variable-order Markov models over folded characters, one for accepted
-and one for rejected URLs. A URL's value is the sum of log(P_accepted / P_rejected) over its characters, each taken
-at the longest context in which the character was seen, divided by the number of characters. The threshold is
-calibrated on the taught URLs: the point as many standard deviations from the one class's mean as from the other's.
+URLs that a rule decides teach two smoothed variable-order Markov models over folded characters of the whole URL
+(after the "://" where there is one, query and fragment included), one for accepted and one for rejected URLs. A URL's
+value is the sum of log(P_accepted / P_rejected) over its characters, each taken at the longest context in which the
+character was seen, divided by the number of characters. The threshold is calibrated on decided URLs that taught
+nothing, one in HELD_OUT by their hash: the point as many standard deviations from the one class's mean as from the
+other's. Where these lack a class, the taught URLs take their place.
 
 The model's size has a proven bound: characters fold to 29 (a-z, one for digits, ./-, others) plus start and end
 marks, and contexts hold at most three, so there are under 33**4 entries whatever the input.
 
-Defined cases: null URLs and those without "://" have empty host and path and fit no rule; they are judged by the
-end mark alone. Without taught URLs of both classes every undecided URL is allowed. Repeated rows keep their own
+Defined cases: null URLs and those without "://" have empty host and path and fit no rule; null ones are judged by the
+end mark alone, others by all their characters. Extra columns are ignored. Without taught URLs of both classes every undecided URL is allowed. Repeated rows keep their own
 result each.
 """
 
@@ -19,9 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tenderflow.llm.storage import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORDER = 3
 SYMBOLS = 32
+HELD_OUT = 5
 START, END = "^", "$"
 
 
@@ -44,8 +49,8 @@ def with_rule(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return df.withColumn("rule", rule).withColumn("ruled", ruled)
 
 
-def folded(host: Column, path: Column) -> Column:
-    text = F.translate(F.concat(host, path), UPPER, LOWER)
+def folded(url: Column) -> Column:
+    text = F.translate(F.coalesce(F.regexp_replace(url, r"(?s)^.*?://", ""), F.lit("")), UPPER, LOWER)
     text = F.regexp_replace(text, "[0-9]+", "0")
     return F.regexp_replace(text, r"[^a-z0./-]", "*")
 
@@ -60,7 +65,7 @@ def grams(strings: DataFrame) -> DataFrame:
 def train(urls: DataFrame) -> list[DataFrame]:
     """From (s, ruled): for each order 0..3 a table (k, ratio) of contexts with a character."""
     allow, block = F.count_if(F.col("ruled") == "allow"), F.count_if(F.col("ruled") == "block")
-    counts = grams(urls).groupBy("g").agg(allow.alias("a"), block.alias("b"))
+    counts = written(grams(urls).groupBy("g").agg(allow.alias("a"), block.alias("b")), "url-grams")
     tables: list[DataFrame] = []
     below = None
     for order in range(ORDER + 1):
@@ -95,13 +100,15 @@ def value(strings: DataFrame, tables: list[DataFrame]) -> DataFrame:
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict, value and threshold for every row of pages (page_id, url)."""
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = with_rule(rows, rules).withColumn("s", folded(F.col("host"), F.col("path")))
-    strings = rows.groupBy("s").agg(F.max("ruled").alias("ruled"))
-    values = value(strings, train(strings.where("ruled IS NOT NULL")))
-    stats = strings.where("ruled IS NOT NULL").join(values, "s").groupBy("ruled").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
-    found = {r["ruled"]: r for r in stats.collect()}
-    if {"allow", "block"} <= found.keys():
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), folded(F.col("url")).alias("s"))
+    rows = with_rule(rows, rules)
+    strings = written(rows.groupBy("s").agg(F.max("ruled").alias("ruled")), "url-strings")
+    decided = strings.where("ruled IS NOT NULL").withColumn("held", F.pmod(F.xxhash64("s"), F.lit(HELD_OUT)) == 0)
+    values = written(value(strings, train(decided.where("NOT held"))), "url-values")
+    stats = decided.join(values, "s").groupBy("ruled", "held").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")).collect()
+    held, taught = ({r["ruled"]: r for r in stats if r["held"] == k} for k in (True, False))
+    found = held if {"allow", "block"} <= held.keys() else taught
+    if {"allow", "block"} <= found.keys() and taught.keys() == {"allow", "block"}:
         a, b = found["allow"], found["block"]
         spread = a["sd"] + b["sd"]
         cut = F.lit((a["mean"] * b["sd"] + b["mean"] * a["sd"]) / spread if spread else (a["mean"] + b["mean"]) / 2)

@@ -40,6 +40,19 @@ def test_near_duplicates_in_chains_and_crowds(spark, sayings):
     assert found == near_classes(docs)
 
 
+def test_near_duplicates_in_a_crowd_without_links(spark, sayings):
+    """Documents of similarity about 0.62 that share buckets but no link, and a few real copies among them; both sides of a salted bucket."""
+    common = sayings(200, 41)
+    docs = {i: " ".join([*common, *sayings(60, 5000 + i, 10**6)]) for i in range(400)}
+    docs |= {400 + i: docs[i] + " tail" for i in range(0, 400, 50)}
+    salt, minhash_dedup.SALT = minhash_dedup.SALT, 50
+    try:
+        found = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(frame(spark, docs)).collect()}
+    finally:
+        minhash_dedup.SALT = salt
+    assert found == {i: i - 400 if i >= 400 else i for i in docs}
+
+
 def test_near_duplicates_at_the_limit(spark, sayings):
     """Similarity exactly 0.75 links: 6 of 8 shingles in common."""
     a = sayings(11, 5)
@@ -224,6 +237,47 @@ def test_two_parts_on_one_diagonal(sayings):
     assert found == [(7, 36, 30, 30, 46)]
 
 
+def test_parts_far_apart_on_one_diagonal(sayings):
+    """The first nine words of an item, 60 others, then words 69 to 108 on the same diagonal."""
+    item = sayings(120, 910, 10**6)
+    text = [*item[:9], *sayings(60, 911, 10**6), *item[69:109], *sayings(11, 912, 10**6)]
+    found = decontamination.Items([(7, " ".join(item).encode())]).overlaps(decontamination.word_hashes([w.encode() for w in text]))
+    assert found == [(7, 69, 40, 40, 120)]
+
+
+def test_short_items(sayings):
+    """Items of one to nine words are found whole, and only whole."""
+    text = sayings(100, 920, 10**6)
+    rows = [(n, " ".join(text[10 * n : 10 * n + n]).encode()) for n in range(1, 10)] + [(20, " ".join([*text[5:8], "x"]).encode())]
+    found = decontamination.Items(rows).overlaps(decontamination.word_hashes([w.encode() for w in text]))
+    assert sorted(found) == [(n, 10 * n, n, n, n) for n in range(1, 10)]
+
+
+def test_substituted_words_by_brute_force(spark, sayings):
+    """Every run of an item with a substituted word now and then, against all alignments of all texts."""
+    rng = random.Random(5)
+    items, docs = {k: sayings(60, 930 + k, 10**6) for k in range(15)}, {}
+    for i in range(60):
+        part = list(items[i % 15][(a := rng.randrange(30)) : a + 30])
+        for k in rng.sample(range(30), rng.randrange(0, 5)):
+            part[k] = f"other{k}"
+        docs[i] = [*sayings(50, 2000 + i, 10**6), *part, *sayings(50, 3000 + i, 10**6)]
+    expected = set()
+    for i, w in docs.items():
+        for k, own in items.items():
+            for shift in range(-len(own), len(w)):
+                same = [0 <= p + shift < len(w) and w[p + shift] == x for p, x in enumerate(own)]
+                best = total = 0
+                for s in same:
+                    total = max(0, total + (1 if s else -2))
+                    best = max(best, total)
+                if best >= 12:
+                    expected.add((i, k))
+    frames = [spark.createDataFrame([(i, " ".join(w)) for i, w in x.items()], s) for x, s in ((docs, DOCS), (items, "item_id long, text string"))]
+    rows = {(r.doc_id, r.item_id) for r in decontamination.contaminated(*frames).collect()}
+    assert len(expected) == 60 and len(expected & rows) >= 0.95 * len(expected) and rows <= {(i, i % 15) for i in range(60)}
+
+
 def test_contaminated_in_the_table(spark, documents, folder):
     """Every document that holds twelve words in a row of an item is found, and what is found is real."""
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from plain import crc
+from pyspark.sql import functions as F
 
 from tenderflow.llm import language_id, lm_scoring, quality, queries, url_filter
 
@@ -135,6 +136,75 @@ def test_urls(pages):
         assert r.verdict == (ruled or ("block" if r.value < r.threshold else "allow"))
 
 
+def test_url_values_by_brute_force(spark):
+    """Counts, smoothing and ratios of the Markov models, computed letter by letter."""
+    urls = [("ab.com/x?q=1", "allow"), ("aab.com/", "allow"), ("ba.net/es/", "block"), ("b.net/fr/x", "block")]
+    fold = [("".join(c if c.isalpha() or c in "./-" else "0" if c.isdigit() else "*" for c in u), k) for u, k in urls]
+    probability = {}
+    for kind in ("allow", "block"):
+        seen = [("^^^" + u + "$", k) for u, k in fold]
+        for order in range(4):
+            for text, _ in seen:
+                for i in range(3, len(text)):
+                    context, c = text[i - order : i], text[i]
+                    follow = Counter(t[j] for t, k in seen if k == kind for j in range(3, len(t)) if t[j - order : j] == context)
+                    if order == 0:
+                        p = (follow[c] + 1) / (follow.total() + url_filter.SYMBOLS)
+                    else:
+                        lower = probability[kind, (context + c)[1:]]
+                        p = (follow[c] + len(follow) * lower) / (follow.total() + len(follow)) if follow else lower
+                    probability[kind, context + c] = p
+
+    def plain_value(text):
+        text, logs = "^^^" + text + "$", []
+        for i in range(3, len(text)):
+            known = [text[i - o : i + 1] for o in (3, 2, 1, 0) if ("allow", text[i - o : i + 1]) in probability]
+            logs.append(math.log(probability["allow", known[0]] / probability["block", known[0]]) if known else 0.0)
+        return np.mean(logs)
+
+    taught = spark.createDataFrame(fold, "s string, ruled string")
+    asked = ["ab.net/x*q*0", "zz", "", "ba.com"]
+    rows = url_filter.value(spark.createDataFrame([(s,) for s in asked], "s string"), url_filter.train(taught)).collect()
+    assert {r.s for r in rows} == set(asked) and all(math.isclose(r.value, plain_value(r.s), abs_tol=1e-9) for r in rows)
+    folded = spark.createDataFrame([("HTTP://Ab.com/x?q=12",), ("no Scheme",), (None,)], "url string").select(url_filter.folded(F.col("url")).alias("s"))
+    assert [r.s for r in folded.collect()] == ["ab.com/x*q*0", "no*scheme", ""]
+
+
+def test_languages_by_brute_force(spark):
+    """Predictions and scores of a small table, word by word."""
+    taught = [(1, "the cat sat", "en"), (2, "the dog ran far", "en"), (3, "el gato come", "es"), (4, "el perro corre", "es")]
+    asked = ["the perro", "gatos catty", "zzz", "el el the", "Cat"]
+    words, grams = {}, {}
+    for _, text, lang in taught:
+        for w in text.split():
+            words.setdefault(lang, Counter())[w] += 1
+            for g in language_id.word_grams(w):
+                grams.setdefault(lang, Counter())[g] += 1
+    langs = sorted(words)
+
+    def logs(table, x):
+        every = {y for c in table.values() for y in c}
+        return [math.log((table[k][x] + 1) / (table[k].total() + len(every))) for k in langs] if x in every else None
+
+    def score(w):
+        if (known := logs(words, w)) is not None:
+            return known
+        for n in (4, 3, 2, 1):
+            text = w if n == 1 else f"<{w}>"
+            found = [x for i in range(len(text) - n + 1) if (x := logs(grams, text[i : i + n])) is not None]
+            if found:
+                return np.mean(found, axis=0)
+        return [0.0] * len(langs)
+
+    model = language_id.fit(spark.createDataFrame(taught, "doc_id long, text string, lang string"))
+    rows = language_id.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()
+    for r in rows:
+        total = np.sum([score(w) for w in asked[r.doc_id].lower().split()], axis=0)
+        n = len(asked[r.doc_id].split())
+        best = int(np.argmax(total))
+        assert r.lang_pred == langs[best] and math.isclose(r.score, 1 / np.exp((total - total[best]) * min(n, 25) / n).sum(), rel_tol=1e-9)
+
+
 def test_url_model_tells_the_classes_apart(spark):
     rows = [(i, f"http://site{i}.com/shop/item{i}") for i in range(60)] + [(100 + i, f"http://x{i}.net/es/casino-bonus-{i}") for i in range(60)]
     asked = [(500, "http://other.org/shop/item7"), (501, "http://other.org/casino-bonus-7")]
