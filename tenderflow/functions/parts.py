@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,13 +24,23 @@ def specific(candidate: Column) -> Column:
     return (F.length(candidate) >= 2) & candidate.rlike("[0-9]")
 
 
+def vendor_names(vendors: list[str]) -> list[str]:
+    """Lower-case tokens of the vendors' names, and the names whole, so that a name of two words is known as such and by each word."""
+    split = [[x.lower() for x in re.split(r"[\s\-_/,]+", v.strip()) if x] for v in vendors]
+    return sorted({x for names in split for x in names} | {" ".join(names) for names in split if names})
+
+
 def candidates(part: Column, vendors: list[str]) -> Column:
-    """The part itself, then without a leading vendor, then each shorter run of its leading tokens; only those that say something."""
+    """The part itself, then without a leading vendor (two words before one), then each shorter run of its leading tokens; only those that say something."""
     parts = tokens(part)
-    known = F.array(*[F.lit(v.lower()) for v in vendors])
-    skip = F.when((F.size(parts) > 1) & F.array_contains(known, F.lower(F.get(parts, F.lit(0)))), 1).otherwise(0)
+    known = F.array(*[F.lit(v) for v in vendor_names(vendors)]).cast("array<string>")
+
+    def led(n: int) -> Column:
+        return (F.size(parts) > n) & F.array_contains(known, F.lower(F.array_join(F.slice(parts, 1, n), " ")))
+
+    skip = F.when(led(2), 2).when(led(1), 1).otherwise(0)
     body = F.slice(parts, skip + 1, F.size(parts))
-    widths = F.reverse(F.sequence(F.lit(1), F.greatest(F.size(body) - F.when(skip == 1, 0).otherwise(1), F.lit(1))))
+    widths = F.reverse(F.sequence(F.lit(1), F.greatest(F.size(body) - F.when(skip > 0, 0).otherwise(1), F.lit(1))))
     shorter = F.transform(widths, lambda n: F.array_join(F.slice(body, 1, n), "-"))
     return F.filter(F.array_distinct(F.concat(F.array(F.trim(part)), shorter)), specific)
 
@@ -87,11 +99,17 @@ def width_inches(text: Column) -> Column:
 
 
 def page_range(spec: Column, last: int) -> Column:
-    """1-3,7 or all as a sorted list of page numbers from 1 to last."""
-    def run(piece: Column) -> Column:
-        ends = F.split(F.trim(piece), "-")
-        first, final = F.get(ends, F.lit(0)).cast("int"), F.element_at(ends, -1).cast("int")
-        return F.when((first <= F.lit(last)) & (final >= first), F.sequence(first, F.least(final, F.lit(last)))).otherwise(F.array().cast("array<int>"))
+    """1-3,7 as page numbers from 1 to last, in the order and as often as given; null, empty and all stand for every page.
 
-    listed = F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(spec, ","), run))))
-    return F.when(F.lower(F.trim(spec)) == "all", F.sequence(F.lit(1), F.lit(last))).otherwise(listed)
+    Empty pieces and pages out of range are left out, as are pieces that are no numbers.
+    """
+
+    def run(piece: Column) -> Column:
+        ends = F.split(F.trim(piece), "-", 2)
+        first, final = F.get(ends, F.lit(0)).try_cast("int"), F.element_at(ends, -1).try_cast("int")
+        low, high = F.greatest(first, F.lit(1)), F.least(final, F.lit(last))
+        return F.when(first.isNotNull() & final.isNotNull() & (high >= low), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    every = F.coalesce(F.lower(F.trim(spec)), F.lit(""))
+    listed = F.flatten(F.transform(F.split(spec, ","), run))
+    return F.when(every.isin("", "all"), F.sequence(F.lit(1), F.lit(last))).otherwise(listed)

@@ -19,6 +19,40 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], limit: in
     return df.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
 
+def prior_similar(asked: DataFrame, rows: DataFrame, key: str, weights: dict[str, int], when: str, newest: int = 50, limit: int = 5) -> DataFrame:
+    """(asked, prior, score): of the `newest` other rows that share a weighted column with an asked row, the best by the weights of all they share.
+
+    Equal scores go to the older row, then the smaller key. Null shares nothing. Only the newest rows of each value can be
+    among the newest of all, so no value's rows are paired beyond these.
+    """
+    late = [F.desc(when), F.desc(key)]
+    found = None
+    for c in weights:
+        kept = first_per_key(rows.where(F.col(c).isNotNull()), [c], late, newest + 1)
+        pairs = asked.select(F.col(key).alias("asked"), c).join(kept.select(c, F.col(key).alias("prior")), c).where("asked <> prior").select("asked", "prior")
+        found = pairs if found is None else found.union(pairs)
+    own = asked.select(F.col(key).alias("asked"), *[F.col(c).alias(f"own_{c}") for c in weights])
+    other = rows.select(F.col(key).alias("prior"), F.col(when).alias("when"), *weights)
+    both = found.distinct().join(other, "prior").join(own, "asked")
+    both = first_per_key(both, ["asked"], [F.desc("when"), F.desc("prior")], newest)
+    score = sum(F.when(F.col(f"own_{c}") == F.col(c), w).otherwise(0) for c, w in weights.items())
+    return first_per_key(both.withColumn("score", score), ["asked"], [F.desc("score"), F.col("when"), F.col("prior")], limit).select("asked", "prior", "score")
+
+
+def numbered(df: DataFrame, coarse: dict[str, bool], fine: list[Column], name: str = "place") -> DataFrame:
+    """Adds the place of each row in the order of the coarse columns (descending where true, nulls last), then fine.
+
+    Rows are counted by their coarse values, the counts are added up, and each value's rows are numbered by themselves: no task holds all rows.
+    """
+    order = [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in coarse.items()]
+    sizes = df.groupBy(*coarse).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n"))
+    before = before.select(*[F.col(c).alias(f"_{c}") for c in coarse], "_before")
+    rows = df.withColumn("_at", F.row_number().over(W.partitionBy(*coarse).orderBy(*fine)))
+    joined = rows.join(before, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in coarse])
+    return joined.withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_before", "_at", *[f"_{c}" for c in coarse])
+
+
 def version_diff(old: DataFrame, new: DataFrame, key: str, watched: list[str]) -> DataFrame:
     """key, change (added, removed, changed) and the watched fields that differ as text."""
     a, b = old.alias("a"), new.alias("b")
@@ -36,11 +70,11 @@ def three_way(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """
     s, i = stored.alias("s"), incoming.select(key).alias("i")
     joined = s.join(i, F.col(f"s.{key}") == F.col(f"i.{key}"), "full_outer")
-    empty = incoming.isEmpty()
+    empty = incoming.agg(F.count("*") == 0).scalar()
     action = (
         F.when(F.col(f"s.{key}").isNull(), "insert")
         .when(F.col(f"i.{key}").isNotNull(), F.when(F.col("s.overridden") | F.col("s.by_hand"), "provenance").otherwise("update"))
-        .when(F.col("s.by_hand") | F.lit(empty), "keep")
+        .when(F.col("s.by_hand") | empty, "keep")
         .otherwise("delete")
     )
     return joined.select(F.coalesce(f"s.{key}", f"i.{key}").alias(key), action.alias("action"))

@@ -33,9 +33,19 @@ def with_tax(totals: DataFrame, rate: Column) -> DataFrame:
     return totals.withColumn("tax", tax).withColumn("grand_total", money(F.col("subtotal") + tax))
 
 
+def named(*columns: str, otherwise: str) -> Column:
+    """The first of the columns that is neither null nor empty, else `otherwise`."""
+    return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns], F.lit(otherwise))
+
+
 def blended_margin(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(sell - cost) / sell over costed lines to four places; null where nothing was sold."""
-    costed = F.col("extended").isNotNull()
-    sold, spent = exact_sum(F.when(costed, F.col("extended"))), exact_sum(F.when(costed, money(F.col("cost") * F.col("qty"))))
-    out = lines.groupBy(*keys).agg(sold.alias("sold"), spent.alias("spent"), F.count_if(~costed).alias("unpriced"))
-    return out.withColumn("blended", F.round((F.col("sold") - F.col("spent")) / F.nullif(F.col("sold"), F.lit(0.0)), 4))
+    """(sell - cost) / sell over lines with a cost, to four places; null where nothing was sold.
+
+    A missing quantity counts as 0, as does a missing extended price; line costs are summed unrounded. `unpriced` are the lines without cost.
+    """
+    costed = F.col("cost").isNotNull()
+    line = (F.col("cost") * F.coalesce("qty", F.lit(0.0))).cast("decimal(30,8)")
+    sold = F.coalesce(exact_sum(F.when(costed, F.col("extended"))), F.lit(0.0))
+    out = lines.groupBy(*keys).agg(sold.alias("sold"), F.coalesce(F.sum(F.when(costed, line)).cast("double"), F.lit(0.0)).alias("spent"), F.count_if(~costed).alias("unpriced"))
+    blended = F.round((F.col("sold") - F.col("spent")) / F.nullif(F.col("sold"), F.lit(0.0)), 4)
+    return out.select(*keys, "sold", money(F.col("spent")).alias("spent"), "unpriced", blended.alias("blended"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from tenderflow.functions import money as m
 from tenderflow.operators import history
+from tenderflow.operators import history as h
 from tenderflow.plans.base import carrier, places, total
 from tenderflow.sources.tables import Tables
 
@@ -113,8 +114,9 @@ DUE = "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) EN
 @carrier(f"""SELECT CAST(row_number() OVER (ORDER BY {DUE} NULLS LAST, o_totalprice DESC, o_orderkey DESC) AS BIGINT) AS place, o_orderkey, {DUE} AS due FROM orders WHERE o_orderstatus = 'P'""")
 def q_due_order(t: Tables) -> DataFrame:
     due = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate").cast("date"))
-    place = F.row_number().over(W.orderBy(F.asc_nulls_last("due"), F.desc("o_totalprice"), F.desc("o_orderkey"))).cast("long")
-    return t.orders.where("o_orderstatus = 'P'").withColumn("due", due).select(place.alias("place"), "o_orderkey", "due")
+    rows = t.orders.where("o_orderstatus = 'P'").withColumn("due", due).withColumn("thousands", F.floor(F.col("o_totalprice") / 1000))
+    rows = h.numbered(rows, {"due": False, "thousands": True}, [F.desc("o_totalprice"), F.desc("o_orderkey")])
+    return rows.select("place", "o_orderkey", "due")
 
 
 @carrier(f"""WITH x AS (SELECT o_orderkey, date_diff('day', DATE '{TODAY}', CAST(o_orderdate AS DATE)) + 200 AS d FROM orders)

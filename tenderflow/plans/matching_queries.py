@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderflow.functions import parts as p
 from tenderflow.operators import history as h
+from tenderflow.operators import matching
 from tenderflow.plans.base import carrier, places
 from tenderflow.sources.tables import Tables
 
@@ -60,27 +61,21 @@ def q_similarity(t: Tables) -> DataFrame:
     return joined.select("x.p_partkey", F.col("y.p_partkey").alias("other"), F.round(p.similarity(F.col("x.k"), F.col("y.k")), 6).alias("similarity"))
 
 
-LEARNED = f"SELECT k, count(*) AS confirms, count(*) FILTER (WHERE p_partkey % 5 = 0) AS rejects, min(p_partkey) AS part FROM ({KEYS}) WHERE p_partkey % 2 = 0 GROUP BY ALL"
+LEARNED = f"SELECT k, count(*) AS confirms, count(*) FILTER (WHERE p_partkey % 5 = 0) AS rejects, min(p_partkey) AS part FROM ({KEYS}) GROUP BY ALL"
 
 
-@carrier(f"""WITH l AS ({LEARNED}), q AS (SELECT DISTINCT k FROM ({KEYS}) WHERE p_partkey % 3 = 0),
+@carrier(f"""WITH l AS ({LEARNED}), q AS (SELECT DISTINCT k FROM ({KEYS})),
   s AS (SELECT q.k AS asked, l.k AS learned, l.part, {sim('q.k', 'l.k')} AS score, confirms FROM q JOIN l ON len(list_intersect({WORDS.format('q.k')}, {WORDS.format('l.k')})) > 0 WHERE confirms > rejects)
   SELECT asked, learned, part, {places("score * (1 + CAST(0.1 AS DOUBLE) * least(confirms, 5))", 6)} AS rank_score FROM s WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY asked ORDER BY {places("score * (1 + CAST(0.1 AS DOUBLE) * least(confirms, 5))", 6)} DESC, learned) <= 5""")
 def q_recall_match(t: Tables) -> DataFrame:
-    """Learned keys that share a token with an asked one, by exact likeness: no pair without a common token is looked at."""
-    learned = keyed(t).where(F.col("p_partkey") % 2 == 0).groupBy("k").agg(F.count("*").alias("confirms"), F.count_if(F.col("p_partkey") % 5 == 0).alias("rejects"), F.min("p_partkey").alias("part"))
-    learned = learned.where("confirms > rejects").withColumnRenamed("k", "learned")
-    asked = keyed(t).where(F.col("p_partkey") % 3 == 0).select(F.col("k").alias("asked")).distinct()
-    left = asked.withColumn("token", F.explode(F.array_distinct(F.split("asked", " "))))
-    right = learned.withColumn("token", F.explode(F.array_distinct(F.split("learned", " "))))
-    pairs = left.join(right, "token").drop("token").distinct()
-    score = p.similarity(F.col("asked"), F.col("learned"))
-    ranked = F.round(score * (1 + 0.1 * F.least(F.col("confirms"), F.lit(5))), 6)
-    found = pairs.where(score >= 0.75).withColumn("rank_score", ranked)
-    return h.first_per_key(found, ["asked"], [F.desc("rank_score"), F.col("learned")], 5).select("asked", "learned", "part", "rank_score")
+    """Every key against every learned one, by exact likeness of at least 0.75."""
+    learned = keyed(t).groupBy("k").agg(F.count("*").alias("confirms"), F.count_if(F.col("p_partkey") % 5 == 0).alias("rejects"), F.min("p_partkey").alias("part"))
+    found = matching.similar_keys(keyed(t).select("k").distinct(), learned.where("confirms > rejects"), "k", 0.75)
+    ranked = F.round(F.col("score") * (1 + 0.1 * F.least(F.col("confirms"), F.lit(5))), 6)
+    return h.first_per_key(found.withColumn("rank_score", ranked), ["asked"], [F.desc("rank_score"), F.col("learned")], 5).select("asked", "learned", "part", "rank_score")
 
 
-CATALOG = "SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_size || 'A' ELSE p_size || 'A-' || (p_size % 10) || 'X' END AS item FROM part WHERE p_partkey % 3 = 0"
+CATALOG = "SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_size || 'A' ELSE p_size || 'A-' || (p_size % 10) || 'X' END AS item FROM part"
 
 
 @carrier(f"""WITH s AS (SELECT DISTINCT spec, l FROM ({CANDS})), c AS (SELECT spec, unnest(l) AS cand, generate_subscripts(l, 1) AS pos FROM s), k AS ({CATALOG}),
@@ -90,7 +85,7 @@ def q_part_lookup(t: Tables) -> DataFrame:
     """All exact candidates before any prefix; of prefix hits the shortest item, then the first by name."""
     even = F.col("p_partkey") % 2 == 0
     item = F.concat(F.col("p_size").cast("string"), F.when(even, "A").otherwise(F.concat(F.lit("A-"), (F.col("p_size") % 10).cast("string"), F.lit("X"))))
-    catalog = t.part.where(F.col("p_partkey") % 3 == 0).select(item.alias("item")).distinct()
+    catalog = t.part.select(item.alias("item")).distinct()
     asked = specs(t).select("spec").distinct().select("spec", F.posexplode(p.candidates(F.col("spec"), VENDORS)).alias("pos", "cand"))
     exact = asked.join(catalog, F.col("cand") == F.col("item")).withColumn("mode", F.lit(0))
     # a prefix of three letters is an equal key on both sides, so the prefix test is an equi-join with a residue
@@ -115,20 +110,15 @@ def q_token_fallback_join(t: Tables) -> DataFrame:
     return probe.groupBy("p_partkey").agg(F.min_by("id", F.when(F.col("id").isNotNull(), F.col("pos"))).alias("item"))
 
 
-@carrier("""WITH b AS (SELECT o_orderkey, o_custkey, o_orderpriority AS gc, floor(o_totalprice / 50000) AS size, o_orderdate FROM orders), q AS (SELECT * FROM b WHERE o_orderkey % 50 = 0),
-  p AS (SELECT q.o_orderkey, b.o_orderkey AS prior, b.o_orderdate, CAST(3 * (q.o_custkey = b.o_custkey)::INT + 2 * (q.gc = b.gc)::INT + 2 * (q.size = b.size)::INT AS INTEGER) AS points FROM q JOIN b ON q.o_orderkey <> b.o_orderkey AND (q.o_custkey = b.o_custkey OR q.gc = b.gc))
-  SELECT o_orderkey, prior, points AS score FROM p QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY points DESC, o_orderdate, prior) <= 3""")
+@carrier("""WITH b AS (SELECT o_orderkey, o_custkey, o_orderpriority AS gc, CAST(floor(o_totalprice / 50000) AS BIGINT) AS size, o_orderdate FROM orders), q AS (SELECT * FROM b WHERE o_orderkey % 50 = 0),
+  p AS (SELECT q.o_orderkey, b.o_orderkey AS prior, b.o_orderdate, CAST(3 * (q.o_custkey = b.o_custkey)::INT + 2 * (q.gc = b.gc)::INT + 2 * (q.size = b.size)::INT AS INTEGER) AS points FROM q JOIN b ON q.o_orderkey <> b.o_orderkey AND (q.o_custkey = b.o_custkey OR q.gc = b.gc OR q.size = b.size)),
+  n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate DESC, prior DESC) <= 50)
+  SELECT o_orderkey, prior, points AS score FROM n QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY points DESC, o_orderdate, prior) <= 5""")
 def q_prior_similar(t: Tables) -> DataFrame:
+    """For every bid whose key is divisible by 50, the closest of the newest 50 that share customer, priority or size."""
     bids = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("gc"), F.floor(F.col("o_totalprice") / 50000).alias("size"), "o_orderdate")
-    asked = bids.where(F.col("o_orderkey") % 50 == 0).alias("q")
-    b = bids.alias("b")
-    # the OR of two equalities as two equi-joins
-    pairs = [asked.join(b, F.col(f"q.{c}") == F.col(f"b.{c}")).select(*[F.col(f"q.{x}").alias(f"q_{x}") for x in bids.columns], *[F.col(f"b.{x}").alias(f"b_{x}") for x in bids.columns]) for c in ("o_custkey", "gc")]
-    found = pairs[0].union(pairs[1]).where("q_o_orderkey <> b_o_orderkey").distinct()
-    weights = {"o_custkey": 3, "gc": 2, "size": 2}
-    score = sum(F.when(F.col(f"q_{c}") == F.col(f"b_{c}"), w).otherwise(0) for c, w in weights.items())
-    ranked = h.first_per_key(found.withColumn("score", score), ["q_o_orderkey"], [F.desc("score"), F.col("b_o_orderdate"), F.col("b_o_orderkey")], 3)
-    return ranked.select(F.col("q_o_orderkey").alias("o_orderkey"), F.col("b_o_orderkey").alias("prior"), "score")
+    found = h.prior_similar(bids.where(F.col("o_orderkey") % 50 == 0), bids, "o_orderkey", {"o_custkey": 3, "gc": 2, "size": 2}, "o_orderdate")
+    return found.withColumnRenamed("asked", "o_orderkey")
 
 
 @carrier("""SELECT p_partkey, CASE upper(regexp_replace(trim(p_brand), '\\s+', ' ', 'g')) WHEN 'BRAND#1' THEN 'FIRST' WHEN 'BRAND#2' THEN 'SECOND' ELSE regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g') END AS maker FROM part""")
@@ -202,17 +192,18 @@ def q_parse_fraction(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", label.alias("label"), p.fraction(label).alias("depth"))
 
 
-@carrier("""WITH x AS (SELECT p_partkey, p_size AS s FROM part) SELECT p_partkey, CASE WHEN s % 3 = 0 THEN array_to_string(range(1, 13), ',') ELSE
-  array_to_string(list_sort(list_distinct(list_filter([2, 3, 4, CAST(s % 15 AS BIGINT)], lambda p: p >= 1 AND p <= 12))), ',') END AS pages FROM x WHERE s % 15 > 0""")
+@carrier("""WITH x AS (SELECT p_partkey, p_size AS s FROM part) SELECT p_partkey, CASE WHEN s % 3 = 0 THEN array_to_string(range(1, 13), ',') WHEN s % 3 = 1 THEN '5,2,2'
+  ELSE array_to_string(list_filter([2, 3, 4, CAST(s % 15 AS BIGINT)], lambda p: p >= 1 AND p <= 12), ',') END AS pages FROM x""")
 def q_range_spec(t: Tables) -> DataFrame:
-    spec = F.when(F.col("p_size") % 3 == 0, "all").otherwise(F.concat(F.lit("2-4,"), (F.col("p_size") % 15).cast("string")))
-    return t.part.where(F.col("p_size") % 15 > 0).select("p_partkey", F.array_join(p.page_range(spec, 12), ",").alias("pages"))
+    size = F.col("p_size")
+    spec = F.when(size % 6 == 0, "all").when(size % 3 == 0, "").when(size % 3 == 1, "5,2,2,").otherwise(F.concat(F.lit("2-4,"), (size % 15).cast("string")))
+    return t.part.select("p_partkey", F.array_join(p.page_range(spec, 12), ",").alias("pages"))
 
 
 OPENING = """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 90 WHEN 1 THEN 45 END AS need, CASE WHEN o_orderkey % 3 = 0 THEN 'LH' WHEN o_orderkey % 3 = 1 THEN 'RH' END AS hand, CASE WHEN o_orderkey % 2 = 0 THEN 'US26D' END AS fin,
-  o_orderstatus AS series FROM orders WHERE o_orderkey % 10 = 0"""
+  o_orderstatus AS series FROM orders"""
 ITEM = """SELECT p_partkey, p_name || '-' || p_partkey AS part, CASE WHEN p_size % 3 = 0 THEN 90 WHEN p_size % 3 = 1 THEN 45 END AS have, CASE p_type WHEN 'ECONOMY' THEN 'LH' WHEN 'LARGE' THEN 'RH' WHEN 'SMALL' THEN 'ANY' END AS ihand,
-  CASE WHEN p_brand = 'Brand#1' THEN 'US26D' WHEN p_brand = 'Brand#2' THEN 'US19' END AS ifin, CASE WHEN p_size % 2 = 0 THEN 'F' ELSE 'O' END AS iseries FROM part WHERE p_partkey % 8 = 0"""
+  CASE WHEN p_brand = 'Brand#1' THEN 'US26D' WHEN p_brand = 'Brand#2' THEN 'US19' END AS ifin, CASE WHEN p_size % 2 = 0 THEN 'F' ELSE 'O' END AS iseries FROM part"""
 R_C, H_C, F_C = "need IS NOT NULL AND (have IS NULL OR have < need)", "hand IS NOT NULL AND ihand IS NOT NULL AND ihand <> 'ANY' AND hand <> ihand", "fin IS NOT NULL AND ifin IS NOT NULL AND fin <> ifin"
 
 
@@ -224,7 +215,7 @@ R_C, H_C, F_C = "need IS NOT NULL AND (have IS NULL OR have < need)", "hand IS N
 def q_match_candidates(t: Tables) -> DataFrame:
     """Hard constraints (rating, handing, finish) rule items out; what agrees sets the confidence; the best three stay."""
     key = F.col("o_orderkey")
-    openings = t.orders.where(key % 10 == 0).select(
+    openings = t.orders.select(
         "o_orderkey",
         F.when(key % 4 == 0, 90).when(key % 4 == 1, 45).alias("need"),
         F.when(key % 3 == 0, "LH").when(key % 3 == 1, "RH").alias("hand"),
@@ -232,7 +223,7 @@ def q_match_candidates(t: Tables) -> DataFrame:
         F.col("o_orderstatus").alias("series"),
     )
     size = F.col("p_size")
-    items = t.part.where(F.col("p_partkey") % 8 == 0).select(
+    items = t.part.select(
         F.concat_ws("-", "p_name", F.col("p_partkey").cast("string")).alias("part"),
         F.when(size % 3 == 0, 90).when(size % 3 == 1, 45).alias("have"),
         F.when(F.col("p_type") == "ECONOMY", "LH").when(F.col("p_type") == "LARGE", "RH").when(F.col("p_type") == "SMALL", "ANY").alias("ihand"),

@@ -92,8 +92,8 @@ def q_export_overlay(t: Tables) -> DataFrame:
 def q_replace_partition(t: Tables) -> DataFrame:
     """Every status present in the incoming rows is replaced whole; a status without items leaves a placeholder."""
     new = incoming(t).select(F.col("o_orderstatus").alias("status"), "o_orderkey")
-    old = stored(t).select(F.col("o_orderstatus").alias("status"), "o_orderkey").join(F.broadcast(new.select("status").distinct()), "status", "left_anti")
-    expected = t.spark.createDataFrame([("X",), ("Z",)], "status string").join(F.broadcast(new.select("status").distinct()), "status", "left_anti")
+    old = stored(t).select(F.col("o_orderstatus").alias("status"), "o_orderkey").join(new.select("status").distinct(), "status", "left_anti")
+    expected = t.spark.createDataFrame([("X",), ("Z",)], "status string").join(new.select("status").distinct(), "status", "left_anti")
     return old.unionByName(new).unionByName(expected.withColumn("o_orderkey", F.lit(None).cast("long")))
 
 

@@ -67,26 +67,26 @@ def q_price_lines(t: Tables) -> DataFrame:
     return priced(t).select("l_orderkey", "l_linenumber", "l_partkey", "sell", "extended", "error")
 
 
-@carrier(f"""WITH g AS (SELECT l_orderkey, coalesce(brand, 'ungrouped') AS g, coalesce({total("extended")}, 0) AS s FROM ({PRICED}) GROUP BY ALL),
+@carrier(f"""WITH g AS (SELECT l_orderkey, coalesce(nullif(brand, ''), 'ungrouped') AS g, coalesce({total("extended")}, 0) AS s FROM ({PRICED}) GROUP BY ALL),
   q AS (SELECT l_orderkey, {total("s")} AS subtotal, count(*) AS n_groups FROM g GROUP BY ALL),
   x AS (SELECT q.*, state, {cents(f"subtotal * {RATE}")} AS tax FROM q JOIN ({BIDS}) ON l_orderkey = o_orderkey)
   SELECT l_orderkey, n_groups, state, subtotal, tax, {cents("subtotal + tax")} AS grand_total FROM x""")
 def q_quote_totals(t: Tables) -> DataFrame:
-    groups = rollup.group_subtotals(priced(t), ["l_orderkey"], F.coalesce("brand", F.lit("ungrouped")))
+    groups = rollup.group_subtotals(priced(t), ["l_orderkey"], rollup.named("brand", otherwise="ungrouped"))
     quotes = groups.groupBy("l_orderkey").agg(m.exact_sum(F.col("subtotal")).alias("subtotal"), F.count("*").alias("n_groups"))
     quotes = quotes.join(bids(t), F.col("l_orderkey") == F.col("o_orderkey"))
     return rollup.with_tax(quotes, m.tax_rate(F.col("state"), RATES)).select("l_orderkey", "n_groups", "state", "subtotal", "tax", "grand_total")
 
 
-@carrier(f"""SELECT l_orderkey, coalesce(grp, division, 'Other') AS group_key, coalesce({total("extended")}, 0) AS subtotal, count(*) AS n_lines,
+@carrier(f"""SELECT l_orderkey, coalesce(nullif(grp, ''), nullif(division, ''), 'Other') AS group_key, coalesce({total("extended")}, 0) AS subtotal, count(*) AS n_lines,
   count(*) FILTER (WHERE extended IS NULL) AS n_unpriced FROM ({PRICED}) GROUP BY ALL""")
 def q_quote_groups(t: Tables) -> DataFrame:
-    return rollup.group_subtotals(priced(t), ["l_orderkey"], F.coalesce("grp", "division", F.lit("Other")))
+    return rollup.group_subtotals(priced(t), ["l_orderkey"], rollup.named("grp", "division", otherwise="Other"))
 
 
-@carrier(f"""WITH x AS (SELECT division, {total("extended")} AS sold, {total("CASE WHEN extended IS NOT NULL THEN " + cents("cost * qty") + " END")} AS spent,
-  count(*) FILTER (WHERE extended IS NULL) AS unpriced FROM ({PRICED}) GROUP BY ALL)
-  SELECT *, CAST(round(CAST((sold - spent) / nullif(sold, 0) AS DECIMAL(30, 12)), 4) AS DOUBLE) AS blended FROM x""")
+@carrier(f"""WITH x AS (SELECT division, coalesce({total("CASE WHEN cost IS NOT NULL THEN extended END")}, 0) AS sold, coalesce(CAST(sum(CAST(cost * coalesce(qty, 0) AS DECIMAL(30, 8))) AS DOUBLE), 0) AS spent,
+  count(*) FILTER (WHERE cost IS NULL) AS unpriced FROM ({PRICED}) GROUP BY ALL)
+  SELECT division, sold, {cents("spent")} AS spent, unpriced, CAST(round(CAST((sold - spent) / nullif(sold, 0) AS DECIMAL(30, 12)), 4) AS DOUBLE) AS blended FROM x""")
 def q_blended_margin(t: Tables) -> DataFrame:
     return rollup.blended_margin(priced(t), ["division"])
 
@@ -103,12 +103,13 @@ def q_alternate_totals(t: Tables) -> DataFrame:
     return out.select(place.alias("place"), "alternate", "n_lines", "subtotal", freight.alias("freight"), m.money(F.col("subtotal") + freight).alias("grand_total"))
 
 
-@carrier(f"""SELECT coalesce({_map("division", SECTIONS)}, 'Other') AS section, grp, coalesce({total("extended")}, 0) AS subtotal
+@carrier(f"""SELECT coalesce({_map("division", SECTIONS)}, 'Other') AS section, grp, coalesce({total("extended")}, 0) AS subtotal, CAST(GROUPING(grp) AS INTEGER) AS level
   FROM ({PRICED}) GROUP BY ROLLUP (1, 2) HAVING GROUPING(section) = 0""".replace("GROUP BY ROLLUP (1, 2) HAVING GROUPING(section) = 0", "GROUP BY GROUPING SETS ((1, 2), (1))"))
 def q_quote_layout(t: Tables) -> DataFrame:
+    """Sections with their groups (level 0) and their totals (level 1): a group without name is no total."""
     section = F.coalesce(m.lookup(F.col("division"), SECTIONS), F.lit("Other"))
-    rolled = priced(t).withColumn("section", section).rollup("section", "grp").agg(F.coalesce(m.exact_sum(F.col("extended")), F.lit(0.0)).alias("subtotal"))
-    return rolled.where("section IS NOT NULL")
+    rolled = priced(t).withColumn("section", section).rollup("section", "grp").agg(F.coalesce(m.exact_sum(F.col("extended")), F.lit(0.0)).alias("subtotal"), F.grouping_id().cast("int").alias("level"))
+    return rolled.where("level < 3")
 
 
 @carrier(f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, qty, {cents("sell * 1.1")} AS unit FROM ({PRICED}) WHERE sell IS NOT NULL)
