@@ -19,6 +19,8 @@ SCHEMA = "key string, started timestamp, due timestamp, n long"
 #: Seconds without a heartbeat after which a job counts as abandoned, for extractions and for all others, and runs a job gets.
 EXTRACT_SILENT, SILENT, RUNS = 600, 180, 3
 RETRY_SECONDS = 30
+#: Seconds that a sign-in attempt counts.
+TTL = 300
 
 
 def due_at(first: pd.Timestamp, last: pd.Timestamp, gap: int, cap: int) -> pd.Timestamp:
@@ -136,3 +138,15 @@ def tail(lines: DataFrame, offset: Column) -> DataFrame:
     size = F.octet_length("content")
     start = F.when(size < offset, 0).otherwise(offset)
     return lines.withColumn("text", F.substr(F.col("content").cast("binary"), start + 1, size).cast("string")).withColumn("next", size)
+
+
+def live_attempts(attempts: DataFrame, key: str, when: str, ttl: int = TTL) -> DataFrame:
+    """Adds live: attempts of the key up to this one that have not expired, that is, that are less than `ttl` seconds old."""
+    recent = W.partitionBy(key).orderBy(F.unix_micros(F.col(when).cast("timestamp"))).rangeBetween(1 - ttl * 1_000_000, 0)
+    return attempts.withColumn("live", F.count("*").over(recent))
+
+
+def streamed_attempts(attempts: DataFrame, key: str, when: str, ttl: int = TTL, late: str = "10 seconds") -> DataFrame:
+    """key, started, n: attempts by windows of `ttl` seconds; the watermark lets the state of a window go once it has expired."""
+    window = F.window(when, f"{ttl} seconds")
+    return attempts.withWatermark(when, late).groupBy(window, key).agg(F.count("*").alias("n")).select(key, F.col("window.start").alias("started"), "n")

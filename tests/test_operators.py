@@ -1,12 +1,17 @@
 """Operators on rows of their own: defined cases of search, parts, roll-ups, repair and sessions."""
 
 import datetime
+import json as js
 
 import pytest
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
+from tenderflow.functions import json as j
 from tenderflow.functions import parts, text
-from tenderflow.operators import history, matching, rollup, search
+from tenderflow.operators import grids, history, matching, rollup, schedules, search
+from tenderflow.sources.files import json_documents
 from tenderflow.streaming import sessions
 
 
@@ -203,3 +208,147 @@ def test_abandoned_jobs_and_fencing(spark):
 def test_tail(spark):
     files = spark.createDataFrame([("a", "hello wörld", 6), ("b", "new", 10), ("c", "same", 4)], "path string, content string, offset int")
     assert {r.path: (r.text, r.next) for r in sessions.tail(files, F.col("offset")).collect()} == {"a": ("wörld", 12), "b": ("new", 3), "c": ("", 4)}
+
+
+@pytest.mark.parametrize(
+    "cells,expected",
+    [
+        (["1 EA. THRESHOLD", "350", "MIL", "HAGER"], {"qty": "1", "unit": "EA.", "part": "350", "finish": "MIL", "manufacturer": "Hager", "description": "THRESHOLD", "flags": []}),
+        (["3 EA. HINGE 4 1/2\" x 4 1/2\"", "BB1279", "626", "HAGER", "GC"], {"part": "BB1279", "finish": "626", "supplied_by": "GC", "qty": "3", "flags": []}),
+        (["1 EA.", "626", "630", "IVES"], {"part": "626", "finish": "630"}),
+        (["1 PAIR", "8501 RIM", "LCN"], {"part": "8501", "unit": "PAIR.", "finish": None, "description": "RIM"}),
+        (["EA. CONCAVE WALL STOP 236W,"], {"part": "236W", "manufacturer": None, "qty": None, "flags": ["manufacturer_missing", "qty_missing"]}),
+        (["1/2 EA. BAR 3/4"], {"part": None, "qty": "1", "description": "/2   BAR 3/4"}),
+        ([None, "", "  "], {"raw_row": "", "description": None, "flags": ["part_missing", "manufacturer_missing", "qty_missing"]}),
+        ([], {"raw_row": "", "part": None}),
+        (["HAGER", "HAGER"], {"manufacturer": "Hager", "description": "HAGER"}),
+    ],
+)
+def test_hardware_items(spark, cells, expected):
+    rows = spark.createDataFrame([(cells,)], "cells array<string>")
+    found = schedules.hardware_items(rows).first().asDict()
+    assert {k: found[k] for k in expected} == expected
+    assert sorted(found) == sorted(["cells", "qty", "unit", "description", "part", "finish", "manufacturer", "supplied_by", "raw_row", "flags"])
+
+
+@pytest.mark.parametrize(
+    "line,kinds,model,flags",
+    [
+        ("TOILET PAPER DISPENSER BOBRICK B-3974", ["toilet_tissue_dispenser"], "B-3974", ["qty_not_stated"]),
+        ("2 EA. hand dryer  Gamco # 0042,", ["hand_dryer"], "0042", []),
+        ("SURFACE JUMBO ROLL TOILET DISPENSER | GRAB BARS ASI 9114-0000000", ["toilet_tissue_dispenser", "grab_bar"], "9114-0000000", ["product_type_ambiguous", "qty_not_stated"]),
+        ("BASIN MIRROR B-165", ["mirror"], None, ["manufacturer_missing", "specified_model_missing", "qty_not_stated"]),
+        ("Towel dispenser and soap dispenser and shelf", ["paper_towel_dispenser", "soap_dispenser", "shelf"], None, ["product_type_ambiguous", "manufacturer_missing", "specified_model_missing", "qty_not_stated"]),
+        ("CONTRACTOR MAKING FINAL HOOK-UPS", [], None, None),
+        ("", [], None, None),
+        (None, [], None, None),
+    ],
+)
+def test_accessory_lines(spark, line, kinds, model, flags):
+    found = schedules.accessory_lines(spark.createDataFrame([(line,)], "line string")).collect()
+    if not kinds:
+        assert found == []
+        return
+    row = found[0]
+    assert [row.product_type, *(row.alternate or "").split("/")] == [*kinds, ""][: max(2, len(kinds))]
+    assert (row.specified_model, row.flags, row.confidence) == (model, flags, round(max(0.3, 1 - 0.15 * len(flags)), 2))
+
+
+def test_panel_findings(spark):
+    pages = [("a", 2, "x\nFRP by Nudo"), ("a", 1, "Bobrick shelf\nFRP non-tile, textured"), ("b", 1, "no panels, Nudo"), ("b", 2, None), ("c", 1, "FIBERGLASS\nREINFORCED POLYESTER")]
+    rows = {r.g: r for r in schedules.panel_findings(spark.createDataFrame(pages, "g string, p int, t string"), "g", "p", "t").collect()}
+    assert (rows["a"].product_type, rows["a"].manufacturer, rows["a"].n_pages) == ("non_tile/textured", "Nudo", 2)
+    assert (rows["b"].frp_in_scope, rows["b"].status, rows["b"].flags) == (False, "NOT_FOUND", ["no_frp_on_the_sheets_tagged_for_it"])
+    assert (rows["c"].product_type, rows["c"].manufacturer, rows["c"].n_pages) == ("FRP wall panel", None, 1)
+    found = schedules.panel_pages(spark.createDataFrame(pages, "g string, p int, t string").where("g = 'c'"), "t").first()
+    assert found.excerpt == ""
+
+
+def grid_words(header, rows, top=10.0):
+    """Words of a page: a header and rows of (height, cells), where a cell is None or a number, at right edges 100, 140, ..."""
+    out = [(1, 80.0 + 40 * i, 100.0 + 40 * i, top, str(v)) for i, v in enumerate(header)]
+    for k, (height, values) in enumerate(rows):
+        y = top + 10 * (k + 1)
+        out += [(1, 40.0, 60.0, y, str(height))] if height is not None else []
+        out += [(1, 80.0 + 40 * i, 100.0 + 40 * i, y, str(v)) for i, v in enumerate(values) if v is not None]
+    return out
+
+
+@pytest.mark.parametrize(
+    "header,rows,expected",
+    [
+        ([6, 8, 10, 12, 14, 16], [(80, [1, 5, 6, 7, 8, 9]), (90, [2, None, None, None, None, None])], {(80, 6): 1, (80, 8): 5, (80, 10): 6, (80, 12): 7, (80, 14): 8, (80, 16): 9}),
+        ([6, 8, 10, 12, 14, 16], [(80, [6, 8, 10, 12, 14, 16]), (None, [1, 2, 3, 4, 5, 6])], {}),
+        ([6, 8, 10, 12, 14], [(80, [1, 2, 3, 4, 5])], {}),
+        ([6, 9, 12, 15, 18, 21], [(80, [1, 2, 3, 4, 5, 6])], {}),
+        ([6, 8, 12, 14, 16, 18], [(80, [1, 2, 3, None, None, None]), (80, [7, 7, 7, None, None, None])], {(80, 6): 7, (80, 8): 7, (80, 12): 7}),
+        ([4, 8, 12, 16, 20, 24], [(80, [1, 2, 3, 4, 5, 6])], {}),
+    ],
+)
+def test_price_grid(spark, header, rows, expected):
+    words = spark.createDataFrame(grid_words(header, rows) + [(1, 0.0, 30.0, 5.0, "WIDTH"), (2, 0.0, 30.0, 5.0, "7")], "page int, x0 double, x1 double, y0 double, word string")
+    found = grids.price_grid(words).collect()
+    assert {(r.height, r.width): r.price for r in found} == expected and len(found) == len(expected)
+
+
+@pytest.mark.parametrize(
+    "value,ids",
+    [
+        ({"items": [{"id": 1, "items": [{"id": 2}]}, 3], "openings": [{"items": [{"id": 4}]}], "hardware_sets": {"items": [{"id": 5}]}}, [1, 2, 5, 4]),
+        ([[{"items": [{"id": 1}]}], {"other": {"items": [{"id": 9}]}}], [1]),
+        ({"items": {"id": 1}, "groups": "x"}, []),
+        (None, []),
+        (7, []),
+    ],
+)
+def test_harvested(spark, value, ids):
+    found = one(spark, j.harvested(F.col("t")), ("t", js.dumps(value)))
+    assert [js.loads(x)["id"] for x in found] == ids
+
+
+def test_harvested_odd(spark):
+    rows = spark.createDataFrame([(0, None), (1, "{"), (2, "")], "k int, t string")
+    assert [r.v for r in rows.orderBy("k").select(j.harvested("t").alias("v")).collect()] == [[], [], []]
+
+
+def test_json_documents(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"k": [1, 2]}')
+    (tmp_path / "bad.json").write_text('{"k": ')
+    wanted = spark.createDataFrame([("good.json",), ("bad.json",), ("gone.json",)], "name string")
+    found = json_documents(wanted, str(tmp_path)).select("name", F.try_variant_get("payload", "$.k[1]", "int").alias("k"), F.col("payload").isNull().alias("none"))
+    assert {tuple(r) for r in found.collect()} == {("good.json", 2, False), ("bad.json", None, True), ("gone.json", None, True)}
+
+
+def test_json_safe(spark):
+    kind = "_id binary, at timestamp_ntz, more struct<_id: int, list: array<timestamp_ntz>>, named map<string, date>"
+    at = datetime.datetime(2024, 1, 2, 3, 4, 5, 6)
+    rows = spark.createDataFrame([(bytearray(b"\x01\xab"), at, (1, [at.replace(microsecond=0), None]), {"_id": at.date()}), (None, None, None, None)], kind)
+    safe = j.safe_rows(rows)
+    assert isinstance(safe.schema["id"].dataType, T.StringType)
+    first, last = safe.collect()
+    assert (first.id, first.at, first.more.id, first.more.list, first.named) == ("01ab", "2024-01-02T03:04:05.000006", 1, ["2024-01-02T03:04:05", None], {"id": "2024-01-02"})
+    assert tuple(last) == (None, None, None, None)
+
+
+@pytest.mark.parametrize(
+    "text,bands",
+    [
+        ('{"bands": [{"key": "a", "margin": 0.1}, {"key": "a", "margin": 0.2}], "accessories_derived": 0.3}', {"a": 0.2, "accessories": 0.3}),
+        ('{"bands": [{"margin": 0.1}]}', {"d": 0.5}),
+        ("{}", {"d": 0.5}),
+        ("[", {"d": 0.5}),
+        (None, {"d": 0.5}),
+        ('{"bands": [{"key": "accessories", "margin": 0.1}], "accessories_derived": 0.3}', {"accessories": 0.3}),
+    ],
+)
+def test_margin_bands(spark, text, bands):
+    assert one(spark, j.margin_bands(F.col("t").cast("string"), {"d": 0.5}), ("t", text)) == bands
+
+
+def test_live_attempts(spark):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [("a", start + datetime.timedelta(seconds=s)) for s in (0, 299, 300, 900)] + [("b", start)]
+    frame = spark.createDataFrame(rows, "who string, at timestamp_ntz")
+    assert sorted((r.who, r.live) for r in sessions.live_attempts(frame, "who", "at").collect()) == [("a", 1), ("a", 1), ("a", 2), ("a", 2), ("b", 1)]
+    counts = {(r.who, r.n) for r in sessions.streamed_attempts(frame.withColumn("at", F.col("at").cast("timestamp")), "who", "at").collect()}
+    assert counts == {("a", 2), ("a", 1), ("b", 1)}
