@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.llm.storage import small_batches
-from tenderflow.llm.words import byte_texts, mix, split_words, stretch, word_hashes
+from tenderflow.llm.words import byte_texts, mix, stretch, text_hashes, word_hashes  # noqa: F401
 
 #: Positions each mask looks at.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 8, 9), (0, 1, 5, 7, 9, 10))
@@ -53,7 +53,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, bytes]]):
         self.ids = [i for i, _ in rows]
-        self.words = [word_hashes(split_words(text)) for _, text in rows]
+        self.words = [text_hashes(text) for _, text in rows]
         #: Hashes of whole short items by their number of words, with the items of each.
         self.short: dict[int, dict[int, list[int]]] = {}
         for i, words in enumerate(self.words):
@@ -131,7 +131,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for part, texts in byte_texts(batch, "text"):
                     out = []
                     for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                        out += [(doc_id, *x) for x in items.overlaps(word_hashes(split_words(text)))]
+                        out += [(doc_id, *x) for x in items.overlaps(text_hashes(text))]
                     if out:
                         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
                         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]

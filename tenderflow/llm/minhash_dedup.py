@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tenderflow.llm.components import components
 from tenderflow.llm.storage import semi_join_ids, small_batches, written
-from tenderflow.llm.words import byte_texts, mix, shingle_hashes, split_words, word_hashes
+from tenderflow.llm.words import byte_texts, mix, shingle_hashes, text_hashes
 
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS, PACKED = HASHES // ROWS, HASHES * BITS // 64
@@ -85,7 +85,7 @@ def pack(mins: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
-    return np.unique(shingle_hashes(word_hashes(split_words(text))))
+    return np.unique(shingle_hashes(text_hashes(text)))
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,6 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 SHINGLE = 5
 #: Words that match gain 1, others cost DROP_COST; a stretch ends where the sum has fallen by more than DROP.
@@ -15,6 +14,10 @@ DROP_COST, DROP = 2, 8
 #: Entries after which a worker's word cache starts anew, so that memory stays bounded.
 CACHE_WORDS = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: The lowest k bytes of a long.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 _ALIVE: dict[object, Any] = {}
@@ -33,24 +36,6 @@ def release() -> None:
     _ALIVE.clear()
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, kept for the words seen last."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """Hashes of words by the worker's cache."""
-    return alive(WordHashes, WordHashes).of(words)
-
-
 def split_words(text: bytes | None) -> list[bytes]:
     """bytes.lower() touches A-Z only and bytes.split() cuts at 0x20 and 0x09-0x0D only."""
     return text.lower().split() if text else []
@@ -63,6 +48,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x * np.uint64(0x81DADEF4BC2DD44D)
 
 
+def text_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hash of each word of split_words(text), of eight bytes at a time, without making the words."""
+    raw = np.frombuffer(text or b"", np.uint8)
+    outside = np.ones(len(raw) + 2, bool)
+    np.take(_SPACE, raw, out=outside[1:-1])
+    cuts = np.flatnonzero(outside[1:] != outside[:-1])
+    starts, size = cuts[::2], cuts[1::2] - cuts[::2]
+    folded = np.zeros(len(raw) + 8, np.uint8)
+    np.take(_LOWER, raw, out=folded[: len(raw)])
+    eight = np.ndarray(len(raw) + 1, "<u8", folded, strides=(1,))
+    total = mix((eight[starts] & _BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * _ODD[0])
+    long, done = np.flatnonzero(size > 8), 8
+    while len(long):
+        left = size[long] - done
+        total[long] = mix(total[long] * _ODD[1] + (eight[starts[long] + done] & _BYTES[np.minimum(left, 8)]))
+        long, done = long[left > 8], done + 8
+    return total
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The same of words that hold no white space."""
+    return text_hashes(b" ".join(words))
+
+
 def shingle_hashes(words: np.ndarray) -> np.ndarray:
     """Hash of the five words from each position on; of all words as one where there are fewer; none without words."""
     n = len(words)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from plain import near_classes, repeated_words, shingles, words
 
 from tenderflow.llm import components, decontamination, minhash_dedup, substring_dedup
@@ -298,3 +299,12 @@ def test_decontamination_of_odd_rows(spark, odd_docs, no_docs, sayings):
     assert {(r.doc_id, r.item_id) for r in rows} == {(8, 3)} and len(rows) == 4
     assert decontamination.contaminated(no_docs, bench).count() == 0
     assert decontamination.contaminated(odd_docs, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", [None, b"", b"   ", b"a", b" A a ", b"one\ttwo\x0b\x0cone\r\nTWO", b"abcdefgh abcdefghi abcdefgh\x00 ABCDEFGHI", "Überüberüber überüberüber Überüberüber".encode(), b"x" * 5000 + b" " + b"X" * 5000 + b" " + b"x" * 5001, b"a\x00 a \x00a a\x1cb"])
+def test_text_hashes(text):
+    words, found = substring_dedup.split_words(text), substring_dedup.text_hashes(text).tolist()
+    assert len(found) == len(words)
+    assert all((found[i] == found[k]) == (words[i] == words[k]) for i in range(len(words)) for k in range(i))
+    assert substring_dedup.word_hashes(words).tolist() == found
+
