@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderflow.llm import decontamination, language_id, lm_scoring, minhash_dedup, piece_codec, quality, substring_dedup, token_counts, topk_search, url_filter
+from tenderflow.llm import decontamination, language_id, lm_scoring, minhash_dedup, pair_index, piece_codec, quality, substring_dedup, token_counts, topk_search, url_filter
 
 TOKEN_LIMIT = 512
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -67,6 +67,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(language_id.taught(docs))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words")
 
 
+def op11_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_index.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_dedup,
         op9_url_filter,
         op10_language_id,
+        op11_pair_index,
     )
 }
 
