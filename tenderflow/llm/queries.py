@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderflow.llm import decontamination, language_id, lm_scoring, minhash_dedup, pair_index, piece_codec, quality, resampling, substring_dedup, token_counts, topk_search, url_filter
+from tenderflow.llm import decontamination, language_id, lm_scoring, minhash_dedup, pair_index, piece_codec, quality, resampling, spelling, substring_dedup, token_counts, topk_search, url_filter
 
 TOKEN_LIMIT = 512
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -71,6 +71,10 @@ def op11_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_index.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return resampling.resample(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_url_filter,
         op10_language_id,
         op11_pair_index,
+        op12_spelling,
         op13_resampling,
     )
 }
