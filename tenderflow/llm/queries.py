@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderflow.llm import decontamination, language_id, lm_scoring, minhash_dedup, pair_index, piece_codec, quality, resampling, spelling, substring_dedup, token_counts, topk_search, url_filter
@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder_is(n: int, k: int) -> Column:
+    """Whether crc32 of the doc_id as text leaves k when divided by n; false for a null doc_id, which teaches nothing."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == k, F.lit(False))
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -35,8 +40,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     worth = quality.fit(docs, quality.taught(table(spark, sf_dir, "labels")))
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    return quality.score(docs, worth).select("doc_id", held_out.alias("held_out"), "score", "predicted", "worth")
+    return quality.score(docs, worth).select("doc_id", remainder_is(3, 1).alias("held_out"), "score", "predicted", "worth")
 
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +67,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    return language_id.predict(docs, language_id.fit(language_id.taught(docs))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words")
+    return language_id.predict(docs, language_id.fit(language_id.taught(docs))).select("doc_id", remainder_is(4, 2).alias("held_out"), "lang_pred", "score", "n_words")
 
 
 def op11_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,32 @@ def test_language_of_odd_rows(odd_docs, no_docs, spark):
     assert {r.lang_pred for r in language_id.predict(odd_docs, language_id.fit(no_docs)).collect()} == {"und"}
 
 
+def test_what_is_a_letter(spark):
+    """Fractions and circled digits are no letters; marks belong to their words; languages of all counts are kept apart."""
+    taught = [(1, "हिन्दी में लिखा", "hi"), (2, "naïve cafés", "fr"), (3, "one two", "en"), (4, "½ x²", "en")]
+    model = language_id.fit(spark.createDataFrame(taught, "doc_id long, text string, lang string"))
+    asked = ["½ ² ①", "12 ٣ ७", "①", "़", "हिन्दी", "x²"]
+    found = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    assert [found[i].lang_pred for i in range(6)] == ["und"] * 4 + ["hi", "en"] and found[0].score == 0
+    assert language_id.words_of("हिन्दी में") == ["हिन्दी", "में"] and language_id.words_of("x²y") == ["x", "y"]
+
+
+def test_repeated_rows_teach_once(spark, monkeypatch):
+    rows = [(1, "one two", "en")] * 50 + [(2, "uno dos", "es"), (2, "zwei", "xx")] + [(None, "three", "en")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "SAMPLE", 2)
+    model = language_id.fit(labelled)
+    assert model.langs == ["en", "es"] and np.allclose(model.words.get("one"), [math.log(2 / 6), math.log(1 / 6)])
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    frame = spark.createDataFrame([(None, "one two", "en", 1), (2, "uno dos", "es", 0), (5, "one", "en", 1)], "doc_id long, text string, lang string, quality int")
+    frame.select("doc_id", "text", "lang").write.parquet(f"{tmp_path}/documents.parquet")
+    frame.select("doc_id", "quality").write.parquet(f"{tmp_path}/labels.parquet")
+    for query, n, k in ((queries.op4_quality, 3, 1), (queries.op10_language_id, 4, 2)):
+        assert {r.doc_id: r.held_out for r in query(spark, str(tmp_path)).collect()} == {None: False, 2: crc(2) % n == k, 5: crc(5) % n == k}
+
+
 def test_quality_on_held_out_rows(spark, folder):
     rows = {r.doc_id: r for r in queries.op4_quality(spark, LARGER).collect()}
     labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect() if crc(r.doc_id) % 3 == 1 and r.quality is not None]
@@ -56,6 +82,34 @@ def test_quality_of_odd_rows(odd_docs, no_docs, spark):
     assert quality.score(no_docs, quality.fit(no_docs, labels)).count() == 0
 
 
+def test_repeated_labels_and_rows_teach_once(spark):
+    texts = {i: ("Good prose here. " if i % 2 else "$$$ BUY!!! ") * (i + 1) for i in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    one = quality.fit(docs, labels)
+    many = quality.fit(docs.union(docs).union(docs), labels.union(labels))
+    assert np.array_equal(one.weights, many.weights) and (one.cut, one.width) == (many.cut, many.width)
+
+
+def test_preferences_reach_the_optimum():
+    """The weights of the pairwise logistic loss against a plain solution over all pairs."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, quality.N_FEATURES))
+    good = x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=60) > 0
+    worth = quality.Worth(x, good)
+    z = worth.standard(x)
+    apart = (z[good][:, None] - z[~good][None]).reshape(-1, z.shape[1])
+    weights = np.zeros(z.shape[1])
+    for _ in range(4000):
+        weights += 0.2 * ((1 / (1 + np.exp(apart @ weights))) @ apart / len(apart) - quality.DECAY * weights)
+
+    def loss(w):
+        return np.log1p(np.exp(-apart @ w)).mean() + quality.DECAY / 2 * w @ w
+
+    assert loss(worth.weights) < loss(np.zeros_like(weights)) / 2 and loss(worth.weights) < loss(weights) + 0.05
+    assert worth.cut == np.quantile(z @ worth.weights, 1 - good.mean())
+
+
 def test_language_model(spark, folder):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()}
     rows = {r.doc_id: r for r in queries.op3_lm_scoring(spark, LARGER).collect()}
