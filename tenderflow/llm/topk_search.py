@@ -10,7 +10,9 @@ little; where 64 unlike dimensions weigh the same, no threshold of sorted lists
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; vectors of another
 length than the query's are no candidates of it; equal scores go to the smaller vec_id; repeated candidate rows each count, repeated query
-rows are asked once, and rows that share a query id share its k results.
+rows are asked once, and rows that share a query id share its k results. Products beyond 2**53 are computed in whole
+numbers, and a score that does not fit a long raises an error. Empty tables give no rows; only vec_id and embedding are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -48,10 +50,14 @@ def block_topk(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, queries: n
     anything stay unread. `scored` receives how many candidates each query scored.
     """
     n, dims = v.shape
+    # the largest product that may come up, in Python's integers: floats are exact below 2**53, longs below 2**63
+    most = max(map(abs, (int(v.max(initial=0)), int(v.min(initial=0))))) * max(map(abs, (int(queries.max(initial=0)), int(queries.min(initial=0))))) * dims
+    if most >= 2**63:
+        v, queries = v.astype(object), queries.astype(object)
     lists = np.argsort(v, axis=0, kind="stable").T
     ordered = np.take_along_axis(v, lists.T, axis=0).T
     middle = ordered[:, n // 2]
-    exact = v.astype(np.float64) if np.abs(v).max(initial=0) * np.abs(queries).max(initial=0) * dims < 2**53 else v
+    exact = v.astype(np.float64) if most < 2**53 else v
     out = []
     for query_id, q, floor in zip(query_ids, queries, [None] * len(queries) if floors is None else floors, strict=True):
         used = np.flatnonzero(q)
@@ -84,7 +90,8 @@ def block_topk(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, queries: n
             rows = rows[ids[rows] != query_id]
             count += len(rows)
             if len(rows):
-                scores = (exact[rows] @ q.astype(exact.dtype)).astype(np.int64)
+                # a score beyond a long is an error, never another number
+                scores = np.array((exact[rows] @ q.astype(exact.dtype)).tolist(), object).astype(np.int64) if most >= 2**63 else (exact[rows] @ q.astype(exact.dtype)).astype(np.int64)
                 best_ids, best = np.concatenate([best_ids, ids[rows]]), np.concatenate([best, scores])
                 order = np.lexsort((best_ids, -best))[:k] if len(best) <= 4 * k else _first(best_ids, best, k)
                 best_ids, best = best_ids[order], best[order]

@@ -60,3 +60,13 @@ def test_odd_vectors(spark):
     assert sorted((r.vec_id, r.v) for r in v.collect()) == [(0, [256, 128]), (6, [-1, 512]), (7, [256])]
     assert found(topk_search.topk(v, v, 5)) == [(0, 1, 6, 256 * -1 + 128 * 512), (6, 1, 0, 256 * -1 + 128 * 512)]
     assert topk_search.topk(v.limit(0), v.limit(0), 5).count() == 0
+
+
+def test_large_components():
+    """Products beyond 2**53 and 2**63 are exact, and what does not fit a long is an error."""
+    ids, one = np.arange(3), np.array([9])
+    v = np.array([[2**31, 1], [2**31 + 1, -1], [2**33, -(2**33)]])
+    q = np.array([[2**31, 2**31]])
+    assert topk_search.block_topk(ids, v, one, q, 3) == [(9, 0, 2**62 + 2**31), (9, 1, 2**62), (9, 2, 0)]
+    with pytest.raises(OverflowError):
+        topk_search.block_topk(ids, v[2:, :1] * 2**20, one, q[:, :1], 3)
