@@ -14,9 +14,11 @@ BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4194
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset a folder in the session's warehouse."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session that leaves it unset uses a folder in its warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,6 +38,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with one row for each doc_id: of rows that share one, which are looked for first, the smallest text."""
+    again = written(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return docs
+    once = written(semi_join_ids(docs, again, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "once")
+    return anti_join_ids(docs, again, "doc_id").unionByName(once)
+
+
 def semi_join_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is in ids (distinct, written). Broadcast below BROADCAST_IDS, shuffled join beyond."""
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:

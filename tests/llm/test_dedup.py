@@ -1,12 +1,14 @@
 """MinHash near-dedup, substring dedup and decontamination against plain models."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from plain import near_classes, repeated_words, shingles, words
 
 from tenderflow.llm import components, decontamination, minhash_dedup, substring_dedup
+from tenderflow.llm.words import stretch
 
 DOCS = "doc_id long, text string"
 
@@ -293,6 +295,52 @@ def test_contaminated_in_the_table(spark, documents, folder):
     assert all(4 * r.n_equal >= 3 * r.n_words for r in rows)
 
 
+@pytest.mark.parametrize("kinds", [1, 2, 3, 5])
+def test_repeated_words_against_every_hit(kinds):
+    """The hits that are left out change nothing: each item's longest stretch is that of all shared seeds."""
+    for seed in range(40):
+        rng = random.Random(seed)
+        items = [(i, " ".join(rng.choices("abcde"[:kinds], k=rng.choice([3, 9, 11, 15, 55]))).encode()) for i in range(5)]
+        text = decontamination.text_hashes(" ".join(rng.choices("abcdef"[: kinds + 1], k=120)).encode())
+        block, best = decontamination.Items(items), {}
+        for k, own in enumerate(block.words):
+            whole = [at for at in range(len(text) - len(own) + 1) if (text[at : at + len(own)] == own).all()]
+            if len(own) <= 10 and whole:
+                best[k] = len(own)
+            for mask in decontamination.MASKS:
+                for j in range(len(own) - mask[-1]):
+                    for p in range(len(text) - mask[-1]):
+                        if all(own[j + x] == text[p + x] for x in mask):
+                            low, high = max(0, j - p), min(len(own), len(text) - p + j)
+                            same = own[low:high] == text[low + p - j : high + p - j]
+                            a, b = stretch(same, j - low)
+                            if b - a >= min(12, len(own)) and 4 * same[a:b].sum() >= 3 * (b - a):
+                                best[k] = max(best.get(k, 0), b - a)
+            if k == 1:
+                break
+        assert {i: n for i, _, n, _, _ in block.overlaps(text) if i < 2} == best
+
+
+def test_a_long_text_of_repeated_words():
+    """A junk document costs memory in proportion to its words times the items, and little time."""
+    items = decontamination.Items([(i, b" ".join([b"spam"] * 55)) for i in range(50)])
+    began = time.process_time()
+    found = items.overlaps(decontamination.text_hashes(b"spam " * 20_000))
+    assert len(found) == 50 and all(f[1:] == (0, 55, 55, 55) for f in found)
+    assert time.process_time() - began < 2
+
+
+def test_passages_of_repeated_rows(spark, sayings):
+    """Rows that share a doc_id count once, and cost as much as one."""
+    passage = sayings(80, 77)
+    one = [(1, " ".join([*sayings(30, 78), *passage])), (2, " ".join([*passage, *sayings(30, 79)]))]
+    single = substring_dedup.repeated_passages(spark.createDataFrame(one, DOCS)).collect()
+    many = substring_dedup.repeated_passages(spark.createDataFrame(one * 300, DOCS)).collect()
+    assert sorted(single) == sorted(many) and single
+    differing = substring_dedup.repeated_passages(spark.createDataFrame([*one, (2, "zz")], DOCS)).collect()
+    assert sorted(differing) == sorted(single)
+
+
 def test_decontamination_of_odd_rows(spark, odd_docs, no_docs, sayings):
     bench = spark.createDataFrame([(1, None), (None, "x y z"), (2, ""), (3, " ".join(sayings(300, 2)[10:40])), (3, " ".join(sayings(300, 2)[10:40]))], "item_id long, text string")
     rows = decontamination.contaminated(odd_docs, bench).collect()
