@@ -68,6 +68,16 @@ def minutes(rating: Column) -> Column:
     return F.nullif(F.regexp_replace(rating, "[^0-9]", ""), F.lit("")).cast("int")
 
 
+def norm(text: Column) -> Column:
+    """Trimmed and in capitals; null where nothing is left."""
+    return F.nullif(F.upper(F.regexp_replace(text, r"^\s+|\s+$", "")), F.lit(""))
+
+
+def rating_minutes(text: Column) -> Column:
+    """All digits of a rating as a number: 90, "90 min" and "90-minute" are 90; null without any."""
+    return F.nullif(F.regexp_replace(text, "[^0-9]", ""), F.lit("")).try_cast("long")
+
+
 def rating_conflict(needed: Column, offered: Column) -> Column:
     """A rated opening needs at least its rating; an unrated one takes anything."""
     return needed.isNotNull() & (offered.isNull() | (offered < needed))

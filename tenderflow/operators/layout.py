@@ -72,3 +72,59 @@ def overlap_share(a: str, b: str) -> Column:
     width = F.greatest(F.lit(0.0), F.least(c(a, "x1"), c(b, "x1")) - F.greatest(c(a, "x0"), c(b, "x0")))
     height = F.greatest(F.lit(0.0), F.least(c(a, "y1"), c(b, "y1")) - F.greatest(c(a, "y0"), c(b, "y0")))
     return F.try_divide(width * height, (c(a, "x1") - c(a, "x0")) * (c(a, "y1") - c(a, "y0")))
+
+
+#: Share of a block that a box must cover, and block types that make no claim about text: fixed values.
+COVERED = 0.5
+NO_TEXT_TYPES = ["discarded", "image", "figure"]
+
+
+def _cell_size(*frames: DataFrame) -> float:
+    """Side of a grid cell such that all boxes together touch at most about four cells each, whatever their sizes."""
+    sizes = None
+    for f in frames:
+        wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+        one = f.select(wide.alias("w"), high.alias("h"))
+        sizes = one if sizes is None else sizes.unionByName(one)
+    r = sizes.agg(F.avg("w").alias("w"), F.avg("h").alias("h"), F.avg(F.col("w") * F.col("h")).alias("area")).first()
+    return max(r.w or 0.0, r.h or 0.0, (r.area or 0.0) ** 0.5, 1e-6)
+
+
+def _on_grid(boxes: DataFrame, cell: float) -> DataFrame:
+    """A row for each grid cell that a box touches."""
+    for axis in "xy":
+        low, high = (F.floor(F.col(f"{axis}{k}") / cell) for k in (0, 1))
+        boxes = boxes.withColumn(f"c{axis}", F.explode(F.sequence(low, high)))
+    return boxes
+
+
+def covered_blocks(blocks: DataFrame, boxes: DataFrame, page: str, block: str) -> DataFrame:
+    """page, block, share: the largest share of each block (page, block, x0, y0, x1, y1) that one box of its page covers, 0 without any.
+
+    Blocks and boxes are dealt to the cells of a grid and meet in a cell of their page, so a page of many boxes is compared
+    cell by cell and spreads over tasks. A pair that shares several cells is judged in one, that of the first corner of its
+    overlap. Blocks and boxes without an area, or with a null corner, are left out.
+    """
+    corners = ["x0", "y0", "x1", "y1"]
+    real = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
+    blocks, boxes = blocks.select(page, block, *corners).where(real), boxes.select(page, *corners).where(real)
+    cell = _cell_size(blocks, boxes)
+    a, b = _on_grid(blocks, cell).alias("a"), _on_grid(boxes, cell).alias("b")
+    first = [F.col(f"a.c{x}") == F.floor(F.greatest(f"a.{x}0", f"b.{x}0") / cell) for x in "xy"]
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (page, "cx", "cy")]
+    found = a.join(b, [*same, *first]).groupBy(F.col(f"a.{page}").alias(page), F.col(f"a.{block}").alias(block)).agg(F.max(overlap_share("a", "b")).alias("share"))
+    return blocks.select(page, block).join(found, [page, block], "left").select(page, block, F.coalesce("share", F.lit(0.0)).alias("share"))
+
+
+def verified_pages(blocks: DataFrame, boxes: DataFrame, page: str, block: str) -> DataFrame:
+    """page, blocks, ratio: of the blocks of a page that claim text, the share of which a box covers at least half.
+
+    blocks also have text and type; those without text or a place, and images, figures and discarded ones, claim nothing. A page
+    without such blocks is left out; one with blocks but no box has a null ratio, as there is nothing to compare with.
+    """
+    placed = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
+    claims = blocks.where(placed & (F.trim(F.coalesce("text", F.lit(""))) != "") & ~F.coalesce(F.col("type").isin(NO_TEXT_TYPES), F.lit(False)))
+    hits = covered_blocks(claims, boxes, page, block).groupBy(page).agg(F.count_if(F.col("share") >= COVERED).alias("hits"))
+    pages = claims.groupBy(page).agg(F.count("*").alias("blocks")).join(boxes.select(page).distinct().withColumn("has_boxes", F.lit(True)), page, "left")
+    ratio = F.when(F.col("has_boxes"), F.round(F.coalesce("hits", F.lit(0)) / F.col("blocks"), 4))
+    return pages.join(hits, page, "left").select(page, "blocks", ratio.alias("ratio"))

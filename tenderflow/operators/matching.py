@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.functions import parts as p
+from tenderflow.operators import history as h
 
 
 def _leading(keys: DataFrame, name: str, rarity: DataFrame, least: float) -> DataFrame:
@@ -34,3 +37,93 @@ def similar_keys(asked: DataFrame, learned: DataFrame, key: str, least: float) -
     by_number = left.where("numbers <> ''").join(right, "numbers").select("asked", "learned")
     pairs = by_token.union(by_number).distinct().withColumn("score", p.similarity(F.col("asked"), F.col("learned")))
     return pairs.where(F.col("score") >= least).join(learned, "learned")
+
+
+#: Hands that fit every opening, and the confidence from which a match needs no review.
+NON_HANDED = ["NON-HANDED", "NONHANDED", "REVERSIBLE", "ANY"]
+CONFIDENCE_FLOOR = 0.75
+SOFT = ["series", "manufacturer", "door_type"]
+#: Most distinct ratings (minutes) that openings may ask for; they are told to every task.
+MOST_RATINGS = 1_000
+
+
+def _marks(frame: DataFrame, more: list[str], finish: Callable[[Column], Column]) -> DataFrame:
+    """The named columns and the compared ones: need or have in minutes, hand, fin and the soft fields, blanks as null."""
+    soft = [p.norm(F.col(c)).alias(c) for c in SOFT]
+    return frame.select(*more, p.rating_minutes(F.col("fire_rating")).alias("minutes"), p.norm(F.col("fire_rating")).isNotNull().alias("rated"), p.norm(F.col("handing")).alias("hand"), finish(p.norm(F.col("finish"))).alias("fin"), *soft)
+
+
+def _soft_keys() -> Column:
+    """What a group of items is looked up by beside the hard keys: nothing, or the value of one soft field."""
+    each = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c))) for c in SOFT]
+    return F.array_compact(F.array(F.lit(""), *each))
+
+
+def match_candidates(openings: DataFrame, items: DataFrame, key: str, finish: Callable[[Column], Column] = lambda x: x, top: int = 3) -> DataFrame:
+    """key, part, confidence, matched_on and place of the `top` best items for each opening, one row without part where none fits.
+
+    openings (key) and items (part) have fire_rating, handing, finish, series, manufacturer and door_type, all texts. A rated
+    opening takes items with at least its rating, a handed one items of its hand, of no stated hand or for any hand, one with a
+    finish items of that finish (by the key that `finish` makes of it) or of none. An opening that asks for nothing takes all.
+
+    These conditions become equal keys, so that nothing is compared pair by pair: an item is entered under each rating that it
+    can serve and under "#" for openings that ask for none, likewise for hand and finish; an opening looks up its own value and
+    the wildcards. Confidence depends on the key and on whether a soft field agrees, so each key needs only its first
+    items by part, and the first for each value of a soft field. Only these meet openings, of which equal ones are judged once.
+    Equal rows of items count once.
+
+    Per opening: rating_conflict (nothing fits, and some item was turned down for its rating), rating_missing, auto_matched,
+    needs_review.
+    """
+    asked = _marks(openings, [key], finish).withColumn("kind", F.to_json(F.struct("minutes", "rated", "hand", "fin", *SOFT)))
+    kinds = asked.drop(key).dropDuplicates(["kind"])
+    levels = [r[0] for r in kinds.where("minutes IS NOT NULL").select("minutes").distinct().orderBy("minutes").limit(MOST_RATINGS + 1).collect()]
+    if len(levels) > MOST_RATINGS:
+        raise ValueError(f"openings ask for more than {MOST_RATINGS} distinct ratings")
+
+    marks = ["minutes", "hand", "fin", *SOFT]
+    offered = _marks(items, ["part"], finish)
+    served = F.filter(F.array(*[F.lit(x).cast("long") for x in levels]), lambda x: x <= F.coalesce(F.col("minutes"), F.lit(-1)))
+    any_hand = F.col("hand").isin(NON_HANDED)
+    keys = {
+        "by_rating": F.array_append(served.cast("array<string>"), F.lit("#")),
+        "by_hand": F.array(F.lit("#"), F.when(F.col("hand").isNull(), "*").when(any_hand, "-").otherwise(F.concat(F.lit("="), "hand"))),
+        "by_finish": F.array(F.lit("#"), F.when(F.col("fin").isNull(), "*").otherwise(F.concat(F.lit("="), "fin"))),
+        "by_soft": _soft_keys(),
+    }
+    entered = h.first_per_key(offered.select("part", *marks).distinct(), marks, [F.asc_nulls_last("part")], top).select(F.struct("part", *marks).alias("item"), "*")
+    for name, values in keys.items():
+        entered = entered.withColumn(name, F.explode(values))
+    entered = h.first_per_key(entered.select(*keys, "item"), list(keys), [F.asc_nulls_last("item.part")], top)
+
+    looks = {
+        "by_rating": F.array(F.coalesce(F.col("minutes").cast("string"), F.lit("#"))),
+        "by_hand": F.when(F.col("hand").isNull(), F.array(F.lit("#"))).otherwise(F.array(F.concat(F.lit("="), "hand"), F.lit("-"), F.lit("*"))),
+        "by_finish": F.when(F.col("fin").isNull(), F.array(F.lit("#"))).otherwise(F.array(F.concat(F.lit("="), "fin"), F.lit("*"))),
+        "by_soft": _soft_keys(),
+    }
+    looked = kinds
+    for name, values in looks.items():
+        looked = looked.withColumn(name, F.explode(values))
+    both = looked.join(entered, list(keys))
+
+    def agrees(c: str) -> Column:
+        return F.col(c).isNotNull() & F.col(f"item.{c}").isNotNull()
+
+    on = [F.when(F.col("minutes").isNotNull(), "fire_rating"), F.when(agrees("hand"), "handing"), F.when(agrees("fin"), "finish")]
+    hard = F.array_compact(F.array(*on))
+    matched = F.array_compact(F.array(*on, *[F.when(F.col(c) == F.col(f"item.{c}"), c) for c in SOFT]))
+    wanted = F.col("rated").cast("int") + F.col("hand").isNotNull().cast("int") + F.col("fin").isNotNull().cast("int")
+    judged = both.select("kind", "item", matched.alias("matched_on"), p.match_confidence(wanted, F.size(hard), F.size(matched), F.lit(0)).alias("confidence")).distinct()
+    best = h.first_per_key(judged, ["kind"], [F.desc("confidence"), F.asc_nulls_last("item.part"), F.to_json("item")], top)
+    best = best.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("order"), F.col("item.part").alias("part"), "matched_on"))).alias("found"))
+
+    ratings = offered.agg(F.count("*").alias("n"), F.min(F.coalesce("minutes", F.lit(-1).cast("long"))).alias("least")).first()
+    turned_down = F.lit(ratings.n > 0) & F.col("minutes").isNotNull() & (F.col("minutes") > F.lit(ratings.least).cast("long"))
+    first = -F.col("found")[0]["order"]
+    about = [
+        (F.col("found").isNull() & F.coalesce(turned_down, F.lit(False))).alias("rating_conflict"), F.col("minutes").isNull().alias("rating_missing"),
+        F.coalesce(first >= CONFIDENCE_FLOOR, F.lit(False)).alias("auto_matched"), F.coalesce(first < CONFIDENCE_FLOOR, F.lit(True)).alias("needs_review"),
+    ]
+    rows = asked.join(best, "kind", "left").select(key, *about, F.posexplode_outer("found").alias("place", "f"))
+    return rows.select(key, F.col("f.part").alias("part"), (-F.col("f.order")).alias("confidence"), F.col("f.matched_on").alias("matched_on"), (F.col("place") + 1).alias("place"), "rating_conflict", "rating_missing", "auto_matched", "needs_review")

@@ -69,14 +69,14 @@ def q_unique_match_join(t: Tables) -> DataFrame:
     return found.select("p_partkey", F.when(F.col("n") == 1, F.col("hit")).alias("match"), F.when(F.col("n") == 0, "not_found").when(F.col("n") > 1, "ambiguous").alias("flag"))
 
 
-@carrier(f"""WITH w AS ({WORDS}), s AS (SELECT a.page, a.word, a.x0, a.y0, max(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0))) AS share
-  FROM w a JOIN w b ON a.page = b.page AND b.l_returnflag <> 'N' WHERE a.l_returnflag = 'N' AND a.x1 > a.x0 GROUP BY ALL)
-  SELECT page, count(*) AS blocks, {places("CAST(count(*) FILTER (WHERE share >= 0.5) AS DOUBLE) / count(*)", 6)} AS ratio FROM s GROUP BY ALL""")
+@carrier(f"""WITH w AS ({WORDS}), a AS (SELECT *, row_number() OVER () AS i FROM w WHERE l_returnflag = 'N'), s AS (SELECT a.page, i, max(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0))) FILTER (WHERE a.x1 > a.x0 AND b.x1 > b.x0) AS share, count(b.page) AS n
+  FROM a LEFT JOIN w b ON a.page = b.page AND b.l_returnflag <> 'N' GROUP BY ALL)
+  SELECT page, count(*) AS blocks, CASE WHEN max(n) > 0 THEN {places("CAST(count(*) FILTER (WHERE share >= 0.5) AS DOUBLE) / count(*)", 4)} END AS ratio FROM s GROUP BY ALL""")
 def q_overlap_ratio(t: Tables) -> DataFrame:
-    """Share of a page's blocks of which a box covers at least half; pages without both are left out."""
-    blocks, boxes = words(t).where("l_returnflag = 'N' AND x1 > x0").alias("a"), words(t).where("l_returnflag <> 'N'").alias("b")
-    share = blocks.join(boxes, F.col("a.page") == F.col("b.page")).groupBy("a.page", "a.word", "a.x0", "a.y0").agg(F.max(layout.overlap_share("a", "b")).alias("share"))
-    return share.groupBy("page").agg(F.count("*").alias("blocks"), F.round(F.count_if(F.col("share") >= 0.5) / F.count("*"), 6).alias("ratio"))
+    """Share of a page's text blocks of which a box covers at least half; a page without boxes has none to tell."""
+    rows = words(t).withColumn("line", F.monotonically_increasing_id())
+    blocks = rows.where("l_returnflag = 'N'").select("page", "line", "x0", "y0", "x1", "y1", F.col("word").alias("text"), F.lit("text").alias("type"))
+    return layout.verified_pages(blocks, rows.where("l_returnflag <> 'N'"), "page", "line")
 
 
 KIND = """CASE WHEN trim(text) = '' THEN 'diagram' WHEN contains(text, '....') THEN 'toc' WHEN regexp_matches(text, '[$€][0-9]') AND n >= 5 THEN 'price_table' WHEN regexp_matches(text, '[$€][0-9]') THEN 'prices' WHEN regexp_matches(text, '[A-Z]{2,}-?[0-9]') THEN 'item_numbers' WHEN length(text) > 300 THEN 'prose' ELSE 'unknown' END"""

@@ -201,52 +201,53 @@ def q_range_spec(t: Tables) -> DataFrame:
 
 
 OPENING = """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 90 WHEN 1 THEN 45 END AS need, CASE WHEN o_orderkey % 3 = 0 THEN 'LH' WHEN o_orderkey % 3 = 1 THEN 'RH' END AS hand, CASE WHEN o_orderkey % 2 = 0 THEN 'US26D' END AS fin,
-  o_orderstatus AS series FROM orders"""
+  o_orderstatus AS series, CASE WHEN o_custkey % 3 = 0 THEN 'BRAND#' || (o_custkey % 5 + 1) END AS manufacturer, CASE WHEN o_custkey % 2 = 0 THEN left(o_orderpriority, 1) END AS door_type FROM orders"""
 ITEM = """SELECT p_partkey, p_name || '-' || p_partkey AS part, CASE WHEN p_size % 3 = 0 THEN 90 WHEN p_size % 3 = 1 THEN 45 END AS have, CASE p_type WHEN 'ECONOMY' THEN 'LH' WHEN 'LARGE' THEN 'RH' WHEN 'SMALL' THEN 'ANY' END AS ihand,
-  CASE WHEN p_brand = 'Brand#1' THEN 'US26D' WHEN p_brand = 'Brand#2' THEN 'US19' END AS ifin, CASE WHEN p_size % 2 = 0 THEN 'F' ELSE 'O' END AS iseries FROM part"""
+  CASE WHEN p_brand = 'Brand#1' THEN 'US26D' WHEN p_brand = 'Brand#2' THEN 'US19' END AS ifin, CASE WHEN p_size % 2 = 0 THEN 'F' ELSE 'O' END AS iseries, upper(p_brand) AS imanufacturer, CAST(p_size % 6 AS VARCHAR) AS idoor_type FROM part"""
 R_C, H_C, F_C = "need IS NOT NULL AND (have IS NULL OR have < need)", "hand IS NOT NULL AND ihand IS NOT NULL AND ihand <> 'ANY' AND hand <> ihand", "fin IS NOT NULL AND ifin IS NOT NULL AND fin <> ifin"
-
-
-@carrier(f"""WITH j AS (SELECT o_orderkey, part, (need IS NOT NULL)::INT + (hand IS NOT NULL)::INT + (fin IS NOT NULL)::INT AS asked,
-    (need IS NOT NULL)::INT + (hand IS NOT NULL AND ihand IS NOT NULL)::INT + (fin IS NOT NULL AND ifin IS NOT NULL)::INT AS agreed, (series = iseries)::INT AS soft
-    FROM ({OPENING}) JOIN ({ITEM}) ON NOT coalesce({R_C}, false) AND NOT coalesce({H_C}, false) AND NOT coalesce({F_C}, false)),
-  s AS (SELECT o_orderkey, part, {places("CASE WHEN asked = 0 THEN CASE WHEN agreed + soft > 0 THEN 0.55 ELSE 0.40 END WHEN agreed = asked THEN CASE WHEN agreed + soft > asked THEN 0.95 ELSE 0.90 END ELSE CAST(0.40 AS DOUBLE) + CAST(0.35 AS DOUBLE) * (CAST(agreed AS DOUBLE) / asked) END", 4)} AS confidence FROM j)
-  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY confidence DESC, part) <= 3""")
-def q_match_candidates(t: Tables) -> DataFrame:
-    """Hard constraints (rating, handing, finish) rule items out; what agrees sets the confidence; the best three stay."""
-    key = F.col("o_orderkey")
+KIND_COLUMNS = "need, hand, fin, series, manufacturer, door_type"
+JUDGED = f"""WITH o AS ({OPENING}), k AS (SELECT DISTINCT {KIND_COLUMNS} FROM o), i AS ({ITEM}), j AS (SELECT {KIND_COLUMNS}, part, (need IS NOT NULL)::INT + (hand IS NOT NULL)::INT + (fin IS NOT NULL)::INT AS asked,
+    (need IS NOT NULL)::INT + (hand IS NOT NULL AND ihand IS NOT NULL)::INT + (fin IS NOT NULL AND ifin IS NOT NULL)::INT AS agreed,
+    coalesce(series = iseries, false)::INT + coalesce(manufacturer = imanufacturer, false)::INT + coalesce(door_type = idoor_type, false)::INT AS soft
+    FROM k JOIN i ON NOT coalesce({R_C}, false) AND NOT coalesce({H_C}, false) AND NOT coalesce({F_C}, false)),
+  s AS (SELECT {KIND_COLUMNS}, part, {places("CASE WHEN asked = 0 THEN CASE WHEN agreed + soft > 0 THEN 0.55 ELSE 0.40 END WHEN agreed = asked THEN CASE WHEN agreed + soft > asked THEN 0.95 ELSE 0.90 END ELSE CAST(0.40 AS DOUBLE) + CAST(0.35 AS DOUBLE) * (CAST(agreed AS DOUBLE) / asked) END", 4)} AS confidence, agreed + soft AS n_matched FROM j),
+  best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY {KIND_COLUMNS} ORDER BY confidence DESC, part) <= 3)"""
+SAME_KIND = " AND ".join(f"o.{c.strip()} IS NOT DISTINCT FROM best.{c.strip()}" for c in KIND_COLUMNS.split(","))
+
+
+def judged_openings(t: Tables) -> DataFrame:
+    key, customer, size = F.col("o_orderkey"), F.col("o_custkey"), F.col("p_size")
     openings = t.orders.select(
         "o_orderkey",
-        F.when(key % 4 == 0, 90).when(key % 4 == 1, 45).alias("need"),
-        F.when(key % 3 == 0, "LH").when(key % 3 == 1, "RH").alias("hand"),
-        F.when(key % 2 == 0, "US26D").alias("fin"),
+        F.when(key % 4 == 0, "90 min").when(key % 4 == 1, "45").when(key % 4 == 2, "  ").alias("fire_rating"),
+        F.when(key % 3 == 0, "LH").when(key % 3 == 1, "rh ").alias("handing"),
+        F.when(key % 2 == 0, "US26D").alias("finish"),
         F.col("o_orderstatus").alias("series"),
+        F.when(customer % 3 == 0, F.concat(F.lit("Brand#"), (customer % 5 + 1).cast("string"))).alias("manufacturer"),
+        F.when(customer % 2 == 0, F.left("o_orderpriority", F.lit(1))).alias("door_type"),
     )
-    size = F.col("p_size")
     items = t.part.select(
         F.concat_ws("-", "p_name", F.col("p_partkey").cast("string")).alias("part"),
-        F.when(size % 3 == 0, 90).when(size % 3 == 1, 45).alias("have"),
-        F.when(F.col("p_type") == "ECONOMY", "LH").when(F.col("p_type") == "LARGE", "RH").when(F.col("p_type") == "SMALL", "ANY").alias("ihand"),
-        F.when(F.col("p_brand") == "Brand#1", "US26D").when(F.col("p_brand") == "Brand#2", "US19").alias("ifin"),
-        F.when(size % 2 == 0, "F").otherwise("O").alias("iseries"),
+        F.when(size % 3 == 0, "90-minute").when(size % 3 == 1, "45 min").alias("fire_rating"),
+        F.when(F.col("p_type") == "ECONOMY", "LH").when(F.col("p_type") == "LARGE", "RH").when(F.col("p_type") == "SMALL", "any").alias("handing"),
+        F.when(F.col("p_brand") == "Brand#1", "us26d").when(F.col("p_brand") == "Brand#2", "US19").alias("finish"),
+        F.when(size % 2 == 0, "F").otherwise("O").alias("series"),
+        F.col("p_brand").alias("manufacturer"),
+        (size % 6).cast("string").alias("door_type"),
     )
-    # openings of equal demands are judged once
-    demands = ["need", "hand", "fin", "series"]
-    kinds = openings.select(demands).distinct()
+    return matching.match_candidates(openings, items, "o_orderkey")
 
-    def both(a: str, b: str) -> Column:
-        return F.col(a).isNotNull() & F.col(b).isNotNull()
 
-    ok = (
-        ~F.coalesce(p.rating_conflict(F.col("need"), F.col("have")), F.lit(False))
-        & ~F.coalesce(both("hand", "ihand") & (F.col("ihand") != "ANY") & (F.col("hand") != F.col("ihand")), F.lit(False))
-        & ~F.coalesce(both("fin", "ifin") & (F.col("fin") != F.col("ifin")), F.lit(False))
-    )
-    judged = kinds.join(items, ok)
-    asked = sum(F.col(c).isNotNull().cast("int") for c in ("need", "hand", "fin"))
-    agreed = F.col("need").isNotNull().cast("int") + both("hand", "ihand").cast("int") + both("fin", "ifin").cast("int")
-    soft = (F.col("series") == F.col("iseries")).cast("int")
-    scored = judged.withColumn("confidence", F.round(p.match_confidence(asked, agreed, agreed + soft, F.lit(0)), 4))
-    best = h.first_per_key(scored, demands, [F.desc("confidence"), F.col("part")], 3)
-    same = [openings[c].eqNullSafe(best[c]) for c in demands]
-    return openings.join(best, same).select("o_orderkey", "part", "confidence")
+@carrier(f"{JUDGED} SELECT o_orderkey, part, confidence, CAST(n_matched AS BIGINT) AS n_matched FROM o JOIN best ON {SAME_KIND}")
+def q_match_candidates(t: Tables) -> DataFrame:
+    """Hard constraints (rating, handing, finish) rule items out; what agrees sets the confidence; the best three stay."""
+    found = judged_openings(t).where("part IS NOT NULL")
+    return found.select("o_orderkey", "part", F.round("confidence", 4).alias("confidence"), F.size("matched_on").cast("long").alias("n_matched"))
+
+
+@carrier(f"""{JUDGED} SELECT o_orderkey, count(part) AS n, o.need IS NOT NULL AND count(part) = 0 AND (SELECT count(*) FROM i WHERE have IS NULL OR have < o.need) > 0 AS rating_conflict, o.need IS NULL AS rating_missing,
+  coalesce(max(confidence) >= 0.75, false) AS auto_matched, coalesce(max(confidence) < 0.75, true) AS needs_review FROM o LEFT JOIN best ON {SAME_KIND} GROUP BY o_orderkey, o.need""")
+def q_match_review(t: Tables) -> DataFrame:
+    """Which openings matched by themselves, and which a person must look at."""
+    flags = ["rating_conflict", "rating_missing", "auto_matched", "needs_review"]
+    return judged_openings(t).groupBy("o_orderkey", *flags).agg(F.count("part").alias("n"))

@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 GAP, CAP = 60, 300
+#: Seconds of a slot in which one task looks for quiet gaps of a key.
+SLOT = 86_400
 SCHEMA = "key string, started timestamp, due timestamp, n long"
 #: Seconds without a heartbeat after which a job counts as abandoned, for extractions and for all others, and runs a job gets.
 EXTRACT_SILENT, SILENT, RUNS = 600, 180, 3
@@ -23,38 +27,89 @@ RETRY_SECONDS = 30
 TTL = 300
 
 
-def due_at(first: pd.Timestamp, last: pd.Timestamp, gap: int, cap: int) -> pd.Timestamp:
-    return min(last + pd.Timedelta(seconds=gap), first + pd.Timedelta(seconds=cap))
+def quiet_pieces(rows: DataFrame, gap: int, slot: int) -> DataFrame:
+    """Adds piece to rows (key, at in microseconds): where the run of events without more than the gap between two began.
 
-
-def _split(times: list[pd.Timestamp], gap: int, cap: int) -> list[tuple[pd.Timestamp, pd.Timestamp, int]]:
-    """(first, last, events) of each session of times in order."""
-    out: list[tuple[pd.Timestamp, pd.Timestamp, int]] = []
-    for ts in times:
-        if out and ts <= due_at(out[-1][0], out[-1][1], gap, cap):
-            first, last, n = out[-1]
-            out[-1] = (first, max(last, ts), n + 1)
-        else:
-            out.append((ts, ts, 1))
-    return out
+    Keys are taken apart in slots of time: windows see one slot of a key, and only a slot's first and last event and its last
+    cut go on to the window over the whole key. So a key that holds much of all rows is spread over its slots.
+    """
+    micro = 1_000_000
+    rows = rows.withColumn("slot", F.floor(F.col("at") / (slot * micro)))
+    inside = W.partitionBy("key", "slot").orderBy("at")
+    far = F.col("at") - F.lag("at").over(inside) > gap * micro
+    rows = rows.withColumn("cut", F.when(far, F.col("at")))
+    ends = rows.groupBy("key", "slot").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.max("cut").alias("cut"))
+    slots = W.partitionBy("key").orderBy("slot")
+    before = F.lag("high").over(slots)
+    ends = ends.withColumn("opens", F.when(before.isNull() | (F.col("low") - before > gap * micro), F.col("low")))
+    # where the piece that a slot begins in started
+    ends = ends.withColumn("began", F.coalesce("opens", F.last(F.coalesce("cut", "opens"), True).over(slots.rowsBetween(W.unboundedPreceding, -1))))
+    latest = F.last("cut", True).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = rows.withColumn("latest", latest).join(ends.select("key", "slot", "began"), ["key", "slot"])
+    return found.select("key", "at", F.coalesce("latest", "began").alias("piece"))
+
+
+class Walk:
+    """Sessions of one piece after the other, of events in order; a piece may go on in the next batch."""
+
+    def __init__(self, gap: int, cap: int):
+        self.gap, self.cap = gap * 1_000_000, cap * 1_000_000
+        self.piece: tuple[str, int] | None = None
+        self.first = self.last = self.n = 0
+
+    def due(self) -> int:
+        return min(self.last + self.gap, self.first + self.cap)
+
+    def closed(self) -> list[tuple[str, int, int, int]]:
+        """The session that is open, if any, which ends here."""
+        out = [(self.piece[0], self.first, self.due(), self.n)] if self.n else []
+        self.n = 0
+        return out
+
+    def take(self, key: str, piece: int, at: np.ndarray) -> list[tuple[str, int, int, int]]:
+        """The sessions that events of a piece close; events lie no further apart than the gap, so only the cap cuts."""
+        out = self.closed() if self.piece != (key, piece) else []
+        self.piece, i = (key, piece), 0
+        while i < len(at):
+            if not self.n:
+                self.first = int(at[i])
+            end = int(np.searchsorted(at, self.first + self.cap, "right"))
+            if end > i:
+                self.last, self.n = int(at[end - 1]), self.n + end - i
+            if end < len(at):
+                out += self.closed()
+            i = end
+        return out
 
 
 def capped_sessions(events: DataFrame, gap: int = GAP, cap: int = CAP) -> DataFrame:
     """key, started, due and number of events of every session of events (key, ts).
 
-    Where more than the gap lies between two events no session goes on, so window functions cut each key there first, and only the pieces
-    between such cuts are walked in order. Rows without key or ts belong to no session.
+    Where more than the gap lies between two events no session goes on, so keys are cut there (`quiet_pieces`) and the pieces
+    are dealt over tasks. A task goes over its sorted pieces once, a batch of Arrow columns at a time, with one search for
+    each session and none for each event; it holds a batch, however long a piece is. Rows without key or ts belong to no session.
     """
-    rows = events.where("key IS NOT NULL AND ts IS NOT NULL").select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    by_key = W.partitionBy("key").orderBy("ts")
-    far = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(by_key)) > gap * 1_000_000
-    pieces = rows.withColumn("cut", F.coalesce(far.cast("int"), F.lit(1))).withColumn("piece", F.sum("cut").over(by_key.rowsBetween(W.unboundedPreceding, W.currentRow)))
-
-    def walk(piece: pd.DataFrame) -> pd.DataFrame:
-        found = _split(sorted(piece["ts"]), gap, cap)
-        return pd.DataFrame([(piece["key"].iloc[0], first, due_at(first, last, gap, cap), n) for first, last, n in found], columns=["key", "started", "due", "n"])
-
-    return pieces.select("key", "piece", "ts").groupBy("key", "piece").applyInPandas(walk, SCHEMA)
+    rows = events.where("key IS NOT NULL AND ts IS NOT NULL").select(F.col("key").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = Walk(gap, cap)
+        for batch in batches:
+            keys, piece, at = batch.column(0).dictionary_encode(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            code, names = keys.indices.to_numpy(), keys.dictionary.to_pylist()
+            edges = np.flatnonzero((code[1:] != code[:-1]) | (piece[1:] != piece[:-1])) + 1
+            out: list[tuple] = []
+            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(at)], strict=True):
+                out += state.take(names[code[low]], int(piece[low]), at[low:high])
+            yield sessions_of(out)
+        yield sessions_of(state.closed())
+
+    def sessions_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["key", "started", "due", "n"])
+
+    pieces = quiet_pieces(rows, gap, SLOT).select("key", "piece", "at").repartition("key", "piece").sortWithinPartitions("key", "piece", "at")
+    found = pieces.mapInArrow(walk, "key string, started long, due long, n long")
+    return found.select("key", F.timestamp_micros("started").alias("started"), F.timestamp_micros("due").alias("due"), "n")
 
 
 def streamed_sessions(events: DataFrame, gap: int = GAP, cap: int = CAP, late: str = "10 seconds") -> DataFrame:
