@@ -164,6 +164,26 @@ def streamed_sessions(events: DataFrame, gap: int = GAP, cap: int = CAP, late: s
     return rows.groupBy("key").applyInPandasWithState(step, f"{SCHEMA}, stragglers long", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def follow_ups(found: DataFrame) -> DataFrame:
+    """key, run_at, stragglers: for sessions of `streamed_sessions` whose events came too late for the run they belonged to, the run that takes them in."""
+    return found.where("stragglers > 0").select("key", F.col("due").alias("run_at"), "stragglers")
+
+
+def trailing(rows: DataFrame, when: str, now: Column, hours: int) -> DataFrame:
+    """The rows of the last hours before now."""
+    start = F.timestamp_micros(F.unix_micros(now.cast("timestamp")) - hours * 3_600_000_000)
+    return rows.where((F.col(when) >= start) & (F.col(when) < now))
+
+
+def trailing_windows(rows: DataFrame, when: str, keys: list[str], totals: list[Column], hours: int, every: int = 1, late: str = "10 minutes") -> DataFrame:
+    """keys, until and totals over the `hours` before each moment `until`, which come every few hours: on a stream as soon as the watermark is past it.
+
+    Each row counts in hours / every windows, which bounds the state: what the watermark has passed is let go.
+    """
+    window = F.window(when, f"{hours} hours", f"{every} hours")
+    return rows.withWatermark(when, late).groupBy(window, *keys).agg(*totals).withColumn("until", F.col("window.end")).drop("window")
+
+
 def abandoned(jobs: DataFrame, now: Column, extract_kinds: list[str]) -> DataFrame:
     """Running jobs (kind, status, heartbeat, attempts, generation) whose heartbeat is missing or too old.
 
