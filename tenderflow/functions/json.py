@@ -1,54 +1,17 @@
-"""JSON values: reading what may be malformed, harvesting nested items, and writing safe values."""
+"""JSON values: reading what may be malformed, and writing safe values."""
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Keys below which items may be nested, after the items of a node itself.
-NESTED = ("hardware_sets", "openings", "groups")
-
 
 def json_or_null(text: Column) -> Column:
     """The text as a variant; null where it is missing or malformed."""
     return F.try_parse_json(text)
 
 
-def _harvest(text: str | None) -> list[str]:
-    """The items of a document in the order of a depth-first walk, kept on a stack so that no depth is too deep for it."""
-    try:
-        stack, found = [(json.loads(text or "null"), False)], []
-    except (ValueError, RecursionError):
-        return []
-    while stack:
-        node, is_item = stack.pop()
-        if is_item:
-            found.append(json.dumps(node))
-        if isinstance(node, list):
-            after = [(x, False) for x in node]
-        elif isinstance(node, dict):
-            items = node.get("items")
-            after = [(x, True) for x in items if isinstance(x, dict)] if isinstance(items, list) else []
-            after += [(node[k], False) for k in NESTED if isinstance(node.get(k), (dict, list))]
-        else:
-            continue
-        stack += reversed(after)
-    return found
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def harvested(texts: pd.Series) -> pd.Series:
-    """Every item of a JSON document at any depth: the members of items that are objects, of the node and of what is nested in them.
-
-    Null, malformed and item-free documents have none.
-    """
-    return texts.map(_harvest)
-
-
 def json_safe(value: Column, kind: T.DataType) -> Column:
     """The value with times as ISO text (microseconds only where there are some), bytes as hex and the key _id as id, at any depth."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):

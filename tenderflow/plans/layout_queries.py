@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderflow.operators import layout
+from tenderflow.operators import layout, nested
 from tenderflow.plans.base import carrier, places
 from tenderflow.sources.tables import Tables
 
@@ -127,11 +127,35 @@ def q_price_columns(t: Tables) -> DataFrame:
     return rows.select("p_partkey", F.array_join(F.transform("found", lambda x: x["name"]), ",").alias("columns"))
 
 
-@carrier(f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, place) - 1 AS leaf, text FROM (SELECT doc_id, pos, unnest(string_split(line, '. ')) AS text, generate_subscripts(string_split(line, '. '), 1) AS place FROM ({LINED})) WHERE text <> ''""")
+STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+LINE_PARTS = "string_split(line, '. ')"
+
+
+@carrier(f"""WITH l AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, line, len({LINE_PARTS}) AS parts FROM ({LINED})),
+  e AS (SELECT doc_id, pos, unnest({LINE_PARTS}) AS text, generate_subscripts({LINE_PARTS}, 1) AS place, 'sub_text' AS type, NULL AS height FROM l WHERE parts > 1
+    UNION ALL SELECT doc_id, pos, unnest(string_split(line, ',')), generate_subscripts(string_split(line, ','), 1), 'text', NULL FROM l WHERE parts = 1 AND pos % 3 = 0
+    UNION ALL SELECT doc_id, pos, line, 1000000, 'list', 12 FROM l WHERE parts = 1 AND pos % 3 = 0
+    UNION ALL SELECT doc_id, pos, line, 1, 'discarded', NULL FROM l WHERE parts = 1 AND pos % 3 = 1
+    UNION ALL SELECT doc_id, pos, line, 1, 'text', NULL FROM l WHERE parts = 1 AND pos % 3 = 2)
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY type = 'discarded', pos, place) AS INTEGER) AS n, type, {STRIPPED.format("text")} AS text, CAST(height AS DOUBLE) AS height FROM e WHERE {STRIPPED.format("text")} <> '' OR height IS NOT NULL""")
 def q_blocks_flatten(t: Tables) -> DataFrame:
-    """A line is a block whose sentences are its leaves; order is that of reading."""
-    leaves = F.filter(F.flatten(F.transform(layout.lines(F.col("text")), lambda x: F.split(x, r"\. "))), lambda x: x != "")
-    return t.documents.select("doc_id", F.posexplode(leaves).alias("leaf", "text")).select("doc_id", F.col("leaf").cast("long").alias("leaf"), "text")
+    """Lines as blocks of a parsed page: sentences as inner blocks, lists with items and a box, lines of spans, and discarded ones."""
+    lines = t.documents.select("doc_id", F.posexplode(layout.lines(F.col("text"))).alias("at", "line")).withColumn("pos", F.col("at") + 1)
+    parts = F.split("line", r"\. ")
+    one, rest = F.size(parts) == 1, F.col("pos") % 3
+    block = F.struct(
+        F.when(~one, "text").when(rest == 0, "list").alias("type"),
+        F.when(~one, F.transform(parts, lambda x: F.struct(F.lit("Sub Text").alias("type"), x.alias("content")))).alias("blocks"),
+        F.when(one & (rest == 0), F.transform(F.split("line", ","), lambda x: F.struct(x.alias("content")))).alias("list_items"),
+        F.when(one & (rest < 2), F.col("line")).alias("content"),
+        F.when(one & (rest == 0), F.array(F.lit(0), F.lit(8), F.lit(50.5), F.lit(20))).alias("bbox"),
+        F.when(one & (rest == 2), F.array(F.struct(F.array(F.struct(F.col("line").alias("content"))).alias("spans")))).alias("lines"),
+    )
+    rows = lines.select("doc_id", "pos", (one & (rest == 1)).alias("gone"), block.alias("block"))
+    kept = [F.sort_array(F.collect_list(F.when(c, F.struct("pos", "block")))) for c in (~F.col("gone"), F.col("gone"))]
+    page = rows.groupBy("doc_id").agg(*[F.transform(x, lambda y: y["block"]).alias(n) for x, n in zip(kept, ("para_blocks", "discarded_blocks"), strict=True)])
+    found = nested.blocks(page.select("doc_id", F.to_json(F.struct("para_blocks", "discarded_blocks")).alias("page")), "doc_id", "page")
+    return found.select("doc_id", "n", "type", "text", (F.get("bbox", F.lit(3)) - F.get("bbox", F.lit(1))).alias("height"))
 
 
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.functions import json as j
-from tenderflow.operators import grids, schedules
+from tenderflow.operators import grids, nested, schedules
 from tenderflow.plans.base import carrier
 from tenderflow.sources.tables import Tables
 from tenderflow.streaming import sessions
@@ -121,15 +121,20 @@ def q_grid_pivot(t: Tables) -> DataFrame:
     return grids.price_grid(words)
 
 
-@carrier("""SELECT event_id, CAST(pos AS INTEGER) AS pos, id FROM (
-  SELECT event_id, unnest([0, 1, 2, 3]) AS pos, unnest([event_id, event_id + 1, event_id + 2, event_id + 3]) AS id FROM events WHERE event_id % 3 = 0
-  UNION ALL SELECT event_id, 0, event_id FROM events WHERE event_id % 3 = 1)""")
+@carrier("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line FROM lineitem), e AS (SELECT o_orderkey, 0 AS part, 0 AS line, 0 AS deep, o_custkey AS id FROM orders
+    UNION ALL SELECT l_orderkey, 1, line, 0, l_linenumber FROM l UNION ALL SELECT l_orderkey, 1, line, 1, l_partkey FROM l UNION ALL SELECT l_orderkey, 1, line, 2, l_suppkey FROM l
+    UNION ALL SELECT l_orderkey, 2, 0, 0, count(*) FROM l GROUP BY l_orderkey)
+  SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY part, line, deep) - 1 AS INTEGER) AS pos, id FROM e""")
 def q_harvest(t: Tables) -> DataFrame:
-    key = F.col("event_id")
-    deep = F.format_string('{"groups": [{"items": [{"id": %d}, 7]}], "items": [{"id": %d, "items": [{"id": %d}]}], "openings": {"items": [{"id": %d}]}}', key + 3, key, key + 1, key + 2)
-    text = by_rest(key, deep, F.format_string('[{"items": [{"id": %d}]}, 5]', key), '{"items": [')
-    found = t.events.select("event_id", F.posexplode(j.harvested(text)).alias("pos", "item"))
-    return found.select("event_id", "pos", F.get_json_object("item", "$.id").cast("long").alias("id"))
+    """Orders as documents: the customer as an item, lines as openings with parts nested in their items, the count in a group."""
+    part = F.struct(F.col("l_partkey").alias("id"), F.array(F.struct(F.col("l_suppkey").alias("id"))).alias("items"))
+    opening = F.struct(F.col("l_linenumber").alias("line"), F.array(F.struct(F.col("l_linenumber").alias("id"), F.array(part).alias("items"))).alias("items"))
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(opening)).alias("openings"), F.count("*").alias("n"))
+    rows = t.orders.join(lines, "o_orderkey", "left")
+    groups = F.when(F.col("n").isNotNull(), F.struct(F.array(F.struct(F.col("n").alias("id"))).alias("items")))
+    doc = F.to_json(F.struct(groups.alias("groups"), "openings", F.array(F.struct(F.col("o_custkey").alias("id"))).alias("items"), F.array(F.struct(F.lit(7).alias("id"))).alias("others")))
+    found = nested.harvested(rows.select("o_orderkey", doc.alias("doc")), "o_orderkey", "doc")
+    return found.select("o_orderkey", "pos", F.get_json_object("item", "$.id").cast("long").alias("id"))
 
 
 @carrier("SELECT event_id, event_id % 4 > 1 AS whole, CASE WHEN event_id % 4 > 1 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")

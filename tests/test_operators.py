@@ -291,26 +291,6 @@ def test_price_grid(spark, header, rows, expected):
     assert {(r.height, r.width): r.price for r in found} == expected and len(found) == len(expected)
 
 
-@pytest.mark.parametrize(
-    "value,ids",
-    [
-        ({"items": [{"id": 1, "items": [{"id": 2}]}, 3], "openings": [{"items": [{"id": 4}]}], "hardware_sets": {"items": [{"id": 5}]}}, [1, 2, 5, 4]),
-        ([[{"items": [{"id": 1}]}], {"other": {"items": [{"id": 9}]}}], [1]),
-        ({"items": {"id": 1}, "groups": "x"}, []),
-        (None, []),
-        (7, []),
-    ],
-)
-def test_harvested(spark, value, ids):
-    found = one(spark, j.harvested(F.col("t")), ("t", js.dumps(value)))
-    assert [js.loads(x)["id"] for x in found] == ids
-
-
-def test_harvested_odd(spark):
-    rows = spark.createDataFrame([(0, None), (1, "{"), (2, "")], "k int, t string")
-    assert [r.v for r in rows.orderBy("k").select(j.harvested("t").alias("v")).collect()] == [[], [], []]
-
-
 def test_json_documents(spark, tmp_path):
     (tmp_path / "good.json").write_text('{"k": [1, 2]}')
     (tmp_path / "bad.json").write_text('{"k": ')
