@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderflow.llm.storage import small_batches
-from tenderflow.llm.words import DROP, DROP_COST, byte_texts, mix, text_hashes, word_hashes  # noqa: F401
+from tenderflow.llm.words import DROP, DROP_COST, byte_texts, mix, spread, text_hashes, word_hashes  # noqa: F401
 
 #: Positions each mask looks at.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 8, 9), (0, 1, 5, 7, 9, 10))
@@ -55,12 +55,6 @@ def seeds(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return mix(total + np.uint64(mask[-1]))
 
 
-def spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which range, place) of all places of the ranges that start at first."""
-    which = np.repeat(np.arange(len(size)), size)
-    return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
-
-
 class Seeds:
     """The seeds of a block of items under one mask, sorted by hash and the hash of the seed before, behind a bit table."""
 

@@ -24,8 +24,9 @@ def test_language_id(spark, folder):
 
 def test_words_come_first_then_the_longest_known_grams():
     model = language_id.Model({"a": {"cat": 3}, "b": {"dog": 3}}, {"a": {"ca": 1, "at>": 2}, "b": {"og": 2, "t": 1}})
-    assert np.allclose(model.score("cat"), [math.log(4 / 5), math.log(1 / 5)])
-    assert np.allclose(model.score("rat"), model.grams.get("at>")) and np.allclose(model.score("t"), model.grams.get("t")) and not model.score("q").any()
+    cat, rat, t, q = model.score(["cat", "rat", "t", "q"])
+    assert np.allclose(cat, [math.log(4 / 5), math.log(1 / 5)])
+    assert np.allclose(rat, [math.log(3 / 7), math.log(1 / 7)]) and np.allclose(t, [math.log(1 / 7), math.log(2 / 7)]) and not q.any()
 
 
 def test_language_of_odd_rows(odd_docs, no_docs, spark):
@@ -53,7 +54,7 @@ def test_repeated_rows_teach_once(spark, monkeypatch):
     labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     monkeypatch.setattr(language_id, "SAMPLE", 2)
     model = language_id.fit(labelled)
-    assert model.langs == ["en", "es"] and np.allclose(model.words.get("one"), [math.log(2 / 6), math.log(1 / 6)])
+    assert model.langs == ["en", "es"] and np.allclose(model.score(["one"])[0], [math.log(2 / 6), math.log(1 / 6)])
 
 
 def test_null_ids_are_not_held_out(spark, tmp_path):
