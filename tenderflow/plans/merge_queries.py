@@ -114,30 +114,12 @@ def q_changed_only(t: Tables) -> DataFrame:
     return hashed(incoming(t)).join(hashed(stored(t)).select("hash"), "hash", "left_anti").select("o_orderkey")
 
 
-@carrier(f"""SELECT i.o_orderkey FROM ({INCOMING}) i JOIN ({STORED}) s ON i.o_orderkey = s.o_orderkey
-  WHERE (i.o_orderkey % 20) / CAST(20 AS DOUBLE) >= 0.75 AND i.o_orderstatus = s.o_orderstatus AND i.o_totalprice = s.o_totalprice""")
-def q_cache_reuse(t: Tables) -> DataFrame:
-    joined = incoming(t).alias("i").join(stored(t).alias("s"), "o_orderkey")
-    confident = F.col("o_orderkey") % 20 / 20 >= 0.75
-    same = (F.col("i.o_orderstatus") == F.col("s.o_orderstatus")) & (F.col("i.o_totalprice") == F.col("s.o_totalprice"))
-    return joined.where(confident & same).select("o_orderkey")
-
-
 @carrier("SELECT l_orderkey, bool_and(l_discount <= 0.08 AND l_tax <= 0.07) AS all_match, count(*) AS n FROM lineitem GROUP BY ALL")
 def q_all_match(t: Tables) -> DataFrame:
     ok = (F.col("l_discount") <= 0.08) & (F.col("l_tax") <= 0.07)
     return t.lineitem.groupBy("l_orderkey").agg(F.bool_and(ok).alias("all_match"), F.count("*").alias("n"))
 
 
-@carrier("""WITH p AS (SELECT event_id, user_id AS door, event_type AS field, value, ts, CASE WHEN event_type = 'error' THEN 'unknown field' WHEN value < 20 THEN 'no evidence' WHEN event_type = 'signup' THEN 'protected' END AS reason FROM events)
-  SELECT event_id, door, field, reason, coalesce(reason IS NULL AND row_number() OVER (PARTITION BY door, field, reason IS NULL ORDER BY ts DESC, event_id DESC) = 1, false) AS applied FROM p""")
-def q_apply_patches(t: Tables) -> DataFrame:
-    reason = F.when(F.col("field") == "error", "unknown field").when(F.col("value") < 20, "no evidence").when(F.col("field") == "signup", "protected")
-    patches = t.events.select("event_id", F.col("user_id").alias("door"), F.col("event_type").alias("field"), "value", "ts").withColumn("reason", reason)
-    last = F.row_number().over(W.partitionBy("door", "field", F.col("reason").isNull()).orderBy(F.desc("ts"), F.desc("event_id"))) == 1
-    return patches.select("event_id", "door", "field", "reason", (F.col("reason").isNull() & last).alias("applied"))
-
-
 @carrier("""WITH d AS (SELECT o_orderkey AS opening, 'price' AS field, 'derived' AS origin FROM orders WHERE o_totalprice > 200000),
   e AS (SELECT o_orderkey AS opening, CASE WHEN o_orderkey % 2 = 0 THEN 'price' ELSE 'note' END AS field, 'agent' AS origin FROM orders WHERE o_orderkey % 3 = 0)
   SELECT * FROM d UNION ALL SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.opening = e.opening AND d.field = e.field)""")
@@ -263,23 +245,6 @@ def q_max_sequence(t: Tables) -> DataFrame:
     return t.customer.groupBy("c_mktsegment").agg(F.coalesce(F.max(number), F.lit(0).cast("long")).alias("highest"))
 
 
-@carrier(f"""WITH p AS (SELECT doc_id, CASE WHEN length(text) >= 300 THEN 1 ELSE 0 END AS guess FROM documents),
-  x AS (SELECT coalesce(l.doc_id, p.doc_id) AS doc_id, quality, guess FROM labels l FULL JOIN p ON l.doc_id = p.doc_id)
-  SELECT count(quality) AS available, count(*) FILTER (WHERE quality = guess) AS covered, count(*) FILTER (WHERE quality IS NULL) AS extra, count(*) FILTER (WHERE guess IS NULL) AS missing,
-  {places("CAST(count(*) FILTER (WHERE quality = guess) AS DOUBLE) / nullif(count(quality), 0)", 3)} AS coverage FROM x""")
-def q_golden_score(t: Tables) -> DataFrame:
-    guess = t.documents.select("doc_id", F.when(F.length("text") >= 300, 1).otherwise(0).alias("guess"))
-    joined = t.labels.select("doc_id", "quality").join(guess, "doc_id", "full_outer")
-    covered = F.count_if(F.col("quality") == F.col("guess"))
-    return joined.agg(
-        F.count("quality").alias("available"),
-        covered.alias("covered"),
-        F.count_if(F.col("quality").isNull()).alias("extra"),
-        F.count_if(F.col("guess").isNull()).alias("missing"),
-        F.round(covered / F.nullif(F.count("quality"), F.lit(0)), 3).alias("coverage"),
-    )
-
-
 @carrier(f"""WITH j AS (SELECT s.o_orderkey, s.o_orderstatus AS a1, i.o_orderstatus AS b1, s.o_orderpriority AS a2, i.o_orderpriority AS b2 FROM ({STORED}) s JOIN ({INCOMING}) i ON s.o_orderkey = i.o_orderkey)
   SELECT o_orderkey, 'status' AS event, a1 AS proposed, b1 AS corrected FROM j WHERE a1 IS DISTINCT FROM b1 UNION ALL SELECT o_orderkey, 'priority', a2, b2 FROM j WHERE a2 IS DISTINCT FROM b2""")
 def q_edit_fanout(t: Tables) -> DataFrame:
@@ -306,14 +271,6 @@ def q_update_count(t: Tables) -> DataFrame:
     return t.part.agg(F.count_if(hit).alias("matched"), F.count_if(hit & ~F.col("p_type").eqNullSafe("LARGE")).alias("changed"))
 
 
-@carrier("""WITH v AS (SELECT source, doc_id, lang, lag(lang) OVER (PARTITION BY source ORDER BY doc_id) AS was FROM documents)
-  SELECT source, count(*) AS saved, count(*) FILTER (WHERE lang IS DISTINCT FROM was) AS changed FROM v GROUP BY ALL""")
-def q_changed_versions(t: Tables) -> DataFrame:
-    hashed = t.documents.withColumn("hash", F.sha2("lang", 256))
-    changed = ~F.col("hash").eqNullSafe(F.lag("hash").over(W.partitionBy("source").orderBy("doc_id")))
-    return hashed.select("source", changed.alias("changed")).groupBy("source").agg(F.count("*").alias("saved"), F.count_if("changed").alias("changed"))
-
-
 @carrier("""SELECT p_partkey, array_to_string(list_concat(list_filter(['low', 'scope:' || p_type, p_brand], lambda f: NOT starts_with(f, 'scope')), CASE WHEN p_size > 25 THEN ['scope:big'] ELSE [] END), ',') AS flags FROM part""")
 def q_array_flags(t: Tables) -> DataFrame:
     flags = F.array(F.lit("low"), F.concat(F.lit("scope:"), "p_type"), F.col("p_brand"))

@@ -185,18 +185,6 @@ def q_distinct_counts(t: Tables) -> DataFrame:
     return t.conversations.agg(F.count("*").alias("total"), F.countDistinct("role").alias("roles"), F.countDistinct(agent).alias("agents"))
 
 
-@carrier(f"""SELECT project, count(*) FILTER (WHERE type <> 'error') AS confirms, count(*) FILTER (WHERE type = 'error') AS rejects,
-  arg_max(status, (ts, event_id)) AS last_status, array_to_string(list_sort(list_distinct(list(type))), ',') AS reasons FROM ({JOBS}) GROUP BY ALL""")
-def q_learning_fold(t: Tables) -> DataFrame:
-    bad = F.col("type") == "error"
-    return jobs(t).groupBy("project").agg(
-        F.count_if(~bad).alias("confirms"),
-        F.count_if(bad).alias("rejects"),
-        F.max_by("status", F.struct("ts", "event_id")).alias("last_status"),
-        F.array_join(F.sort_array(F.collect_set("type")), ",").alias("reasons"),
-    )
-
-
 @carrier(f"""WITH p AS (SELECT *, lag(status) OVER (PARTITION BY project ORDER BY ts, event_id) AS was FROM ({JOBS})),
   e(a, b) AS (VALUES ('queued', 'done'), ('queued', 'failed'), ('failed', 'queued'), ('failed', 'dead'), ('done', 'done'))
   SELECT event_id, was, status FROM p WHERE was IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e WHERE a = was AND b = status)""")
