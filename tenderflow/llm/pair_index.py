@@ -10,8 +10,7 @@ One rank after the other gives what merging each pre-token by itself gives only
 rank. That holds where every merge makes a token of its own and joins tokens that lower ranks made; it is checked when
 the vocabulary is read.
 
-The classes of letters and numbers are the library's: code points on which it and the `regex` package differ (they
-follow other versions of Unicode) are asked of it once, and texts that hold one are cut by those classes.
+Texts are cut as `token_counts` cuts them, by the library's classes of letters and numbers.
 
 Defined cases: a null or empty text has no ids and decodes to "". Added tokens inside a text become their ids, as the
 library does by default. Every row gives a row, repeated ones too; an empty table gives none; only doc_id and text are
@@ -20,7 +19,6 @@ read, so other columns may have any name.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -28,13 +26,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 from tenderflow.llm.storage import small_batches
-from tenderflow.llm.token_counts import PATTERN, byte_letters
+from tenderflow.llm.token_counts import byte_letters, exact_pattern, odd_points, patterns
 from tenderflow.llm.words import alive
 
 #: Characters of pre-tokens after which a worker keeps only those in use; texts of a slice.
@@ -45,49 +42,6 @@ SCHEMA = "doc_id long, ids array<int>, decoded string"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-@functools.cache
-def odd_points() -> dict[str, str]:
-    """Code points that the library puts in another class than `regex` does, as {class: characters}.
-
-    All characters of one class in a row are one token for the library, so only where it cuts is there a difference.
-    """
-    cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
-    every = [chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000]
-    out = {"L": "", "N": "", "O": "", "S": ""}
-    for kind, test in {"L": r"\p{L}+", "N": r"\p{N}+", "S": r"\s+", "O": r"[^\s\p{L}\p{N}]+"}.items():
-        row = "".join(regex.findall(test, "".join(every)))
-        for _, (a, b) in cut(row):
-            theirs = next((k for k, x in (("L", "a"), ("N", "1"), ("O", ",")) if len(cut(x + row[a])) == 1), "S")
-            if theirs != kind:
-                out[theirs] += row[a:b]
-    return out
-
-
-def ranges(points: str) -> str:
-    """The inside of a character class for code points in ascending order."""
-    runs: list[list[int]] = []
-    for c in map(ord, points):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "".join([rf"\U{a:08x}-\U{b:08x}" for a, b in runs])
-
-
-def patterns(odd: dict[str, str]) -> tuple[re.Pattern, re.Pattern | None]:
-    """The pattern that cuts texts, and one that finds texts for which it does not hold."""
-    points = "".join(map(ranges, odd.values()))
-    return regex.compile(PATTERN), re.compile(f"[{points}]") if points else None
-
-
-def exact_pattern(odd: dict[str, str]) -> re.Pattern:
-    """The fixed pattern with the library's classes."""
-    every = "".join(map(ranges, odd.values()))
-    own = {"L": r"\p{L}", "N": r"\p{N}", "S": r"\s", "O": r"[^\s\p{L}\p{N}]"}
-    of = {k: f"[[{x}--[{every}]]{ranges(odd[k])}]" if every else x for k, x in own.items()}
-    return regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{of['L']}+| ?{of['N']}+| ?{of['O']}+|{of['S']}+(?!(?!{of['S']}).)|{of['S']}+", regex.DOTALL)
-
-
 class PairIndex:
     """A byte-level BPE vocabulary and the merging of many pre-tokens at once."""
 

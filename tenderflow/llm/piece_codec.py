@@ -6,7 +6,8 @@ other characters, but for the few (`mixers`) that a piece joins with the other k
 every Arrow slice: it encodes and decodes the chunks that are new in it, and the first text whole. The decoded text is
 read back from the document's ids. `agrees` says whether both gave the same; a text with a chunk on which they differ gets the library's result.
 
-Defined cases: a null text counts as empty; an empty text gives the end id alone and decodes to "".
+Defined cases: a null text counts as empty; an empty text gives the end id alone and decodes to "". Every row gives a row,
+repeated ones too; an empty table gives none; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

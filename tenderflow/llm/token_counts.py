@@ -3,8 +3,12 @@
 Offline, the merge rules are run over every vocabulary string; those that end as one token are proven. A pre-token
 that is a proven string counts one; only the rest are merged, each distinct one once per worker.
 
+The classes of letters and numbers are the library's: code points on which it and the `regex` package differ (they
+follow other versions of Unicode) are asked of it once, and texts that hold one are cut by those classes.
+
 Defined cases: a null text counts as empty, 0 bytes and 0 tokens; the vocabulary's added special strings inside a
-text count as one token each, as the tokenizers library does by default.
+text count as one token each, as the tokenizers library does by default. Every row gives a row, repeated ones too; an empty
+table gives none; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import pre_tokenizers
 
 from tenderflow.llm.storage import small_batches
 from tenderflow.llm.words import alive
@@ -37,8 +43,51 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
+@functools.cache
+def odd_points() -> dict[str, str]:
+    """Code points that the library puts in another class than `regex` does, as {class: characters}.
+
+    All characters of one class in a row are one token for the library, so only where it cuts is there a difference.
+    """
+    cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    every = [chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000]
+    out = {"L": "", "N": "", "O": "", "S": ""}
+    for kind, test in {"L": r"\p{L}+", "N": r"\p{N}+", "S": r"\s+", "O": r"[^\s\p{L}\p{N}]+"}.items():
+        row = "".join(regex.findall(test, "".join(every)))
+        for _, (a, b) in cut(row):
+            theirs = next((k for k, x in (("L", "a"), ("N", "1"), ("O", ",")) if len(cut(x + row[a])) == 1), "S")
+            if theirs != kind:
+                out[theirs] += row[a:b]
+    return out
+
+
+def ranges(points: str) -> str:
+    """The inside of a character class for code points in ascending order."""
+    runs: list[list[int]] = []
+    for c in map(ord, points):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join([rf"\U{a:08x}-\U{b:08x}" for a, b in runs])
+
+
+def patterns(odd: dict[str, str]) -> tuple[re.Pattern, re.Pattern | None]:
+    """The pattern that cuts texts, and one that finds texts for which it does not hold."""
+    points = "".join(map(ranges, odd.values()))
+    return regex.compile(PATTERN), re.compile(f"[{points}]") if points else None
+
+
+def exact_pattern(odd: dict[str, str]) -> re.Pattern:
+    """The fixed pattern with the library's classes."""
+    every = "".join(map(ranges, odd.values()))
+    own = {"L": r"\p{L}", "N": r"\p{N}", "S": r"\s", "O": r"[^\s\p{L}\p{N}]"}
+    of = {k: f"[[{x}--[{every}]]{ranges(odd[k])}]" if every else x for k, x in own.items()}
+    return regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{of['L']}+| ?{of['N']}+| ?{of['O']}+|{of['S']}+(?!(?!{of['S']}).)|{of['S']}+", regex.DOTALL)
+
+
 class Merges:
-    def __init__(self, path: str):
+    def __init__(self, path: str, odd: dict[str, str]):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
@@ -46,7 +95,8 @@ class Merges:
         self.vocab = spec["model"]["vocab"]
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.letters = byte_letters()
-        self.find = regex.compile(PATTERN).findall
+        quick, self.has_odd = patterns(odd)
+        self.find, self.find_exact = quick.findall, exact_pattern(odd).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -102,20 +152,27 @@ class Counts(dict):
     def count(self, text: str) -> tuple[int, int]:
         """(tokens, pre-tokens counted by the shortcut) of a text."""
         tokens = shortcut = 0
+        odd = self.merges.has_odd
+        find = self.merges.find_exact if odd and not text.isascii() and odd.search(text) else self.merges.find
         pieces = self.merges.split(text) if self.merges.split else [text]
         for k, piece in enumerate(pieces):
             if k % 2:
                 tokens += 1
                 continue
-            found = self.merges.find(piece)
+            found = find(piece)
             tokens += sum([self[x] for x in found])
             shortcut += sum(map(self.whole.__contains__, found))
         return tokens, shortcut
 
 
-@functools.lru_cache(maxsize=2)
-def load(path: str) -> Merges:
-    return Merges(path)
+_LOADED: dict[str, Merges] = {}
+
+
+def load(path: str, odd: dict[str, str] | None = None) -> Merges:
+    """The vocabulary at path; odd is what odd_points gives, so that workers need not ask for it."""
+    if path not in _LOADED:
+        _LOADED[path] = Merges(path, odd_points() if odd is None else odd)
+    return _LOADED[path]
 
 
 @functools.lru_cache(maxsize=2)
@@ -127,10 +184,10 @@ def prove(path: str) -> frozenset[str]:
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens and n_whole (pre-tokens that the shortcut counted) of every whole text."""
     small_batches(docs.sparkSession)
-    whole = docs.sparkSession.sparkContext.broadcast(prove(path))
+    whole, odd = docs.sparkSession.sparkContext.broadcast(prove(path)), odd_points()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = alive(("token counts", path), lambda: Counts(load(path), whole.value))
+        counts = alive(("token counts", path), lambda: Counts(load(path, odd), whole.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

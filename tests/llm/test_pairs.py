@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tenderflow.llm import pair_index, queries
+from tenderflow.llm import pair_index, queries, token_counts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 HARD = ["", " ", "  two  spaces ", "naïve café ﬁ ½ ①", "日本語テキスト", "\x00\x01\t\n\r", "\x1c\x1d x", "🙂🙃 zero​width", "x" * 3000, "ab" * 2000, "aaa aaaa aaaaa", "don't we'll I'M ''s 'sam", "<|endoftext|> a<|endoftext|>", "<|endoftext|", "１２３ 456", "՘ x֋y \U0001df25", " sep nbsp　wide", "é" * 5000, "...!!!???'ll", "\r\n" * 50, "हिन्दी में", "a" * 100_000]
@@ -21,7 +21,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def index():
-    return pair_index.PairIndex(VOCABULARY, pair_index.odd_points())
+    return pair_index.PairIndex(VOCABULARY, token_counts.odd_points())
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +52,7 @@ def test_ids_and_texts(hard, library):
 def test_classes_are_the_librarys(index):
     """Around every code point on which the versions of Unicode differ, and around common ones."""
     cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
-    odd = [ord(c) for x in pair_index.odd_points().values() for c in x]
+    odd = [ord(c) for x in token_counts.odd_points().values() for c in x]
     for c in [*range(3000), *odd[::7], *range(0x2000, 0x2100)]:
         text = f"a{chr(c)}{chr(c)}b 1{chr(c)}1 ,{chr(c)}, {chr(c)} {chr(c)}\n{chr(c)}  {chr(c)}'s 's{chr(c)}"
         assert index.pretokens(text) == [text[a:b] for _, (a, b) in cut(text)], hex(c)
