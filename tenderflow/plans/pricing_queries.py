@@ -171,53 +171,12 @@ def q_reprice_program(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.when(listed, m.half_even(F.col("p_retailprice") * 0.45)).otherwise(F.col("p_retailprice")).alias("cost"))
 
 
-@carrier(f"""SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 0 THEN 0.56 ELSE 0.27 END AS DOUBLE) AS margin, CASE WHEN p_partkey % 4 = 0 THEN {cents("p_retailprice * 0.5")} ELSE p_retailprice END AS cost,
-  {cents("CASE WHEN p_partkey % 4 = 0 THEN " + cents("p_retailprice * 0.5") + " ELSE p_retailprice END / (1 - CASE WHEN p_partkey % 3 = 0 THEN 0.56 ELSE 0.27 END)")} AS sell
-  FROM part WHERE p_partkey % 2 = 0 AND p_brand NOT LIKE '%1%'""")
-def q_catalog_backfill(t: Tables) -> DataFrame:
-    eligible = (F.col("p_partkey") % 2 == 0) & ~F.col("p_brand").contains("1")
-    margin = F.when(F.col("p_partkey") % 3 == 0, 0.56).otherwise(0.27)
-    cost = F.when(F.col("p_partkey") % 4 == 0, m.money(F.col("p_retailprice") * 0.5)).otherwise(F.col("p_retailprice"))
-    return t.part.where(eligible).select("p_partkey", margin.alias("margin"), cost.alias("cost"), m.sale_each(cost, margin).alias("sell"))
-
-
 @carrier(f"""SELECT count(*) AS n, count(*) FILTER (WHERE cost IS NULL AND brand NOT LIKE '%Brand#1%' AND grp <> 'R') AS eligible FROM ({LINES})""")
 def q_backfill_eligible(t: Tables) -> DataFrame:
     eligible = F.col("cost").isNull() & ~F.col("brand").contains("Brand#1") & ~F.col("grp").eqNullSafe("R")
     return lines(t).agg(F.count("*").alias("n"), F.count_if(eligible).alias("eligible"))
 
 
-@carrier(f"""WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_retailprice * 0.9 END AS a, CASE WHEN p_partkey % 3 = 0 THEN 10.0 END AS b,
-  CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END AS c, CASE WHEN p_size > 25 THEN {cents("p_retailprice * 0.5")} END AS d FROM part)
-  SELECT p_partkey, CASE WHEN a IS NOT NULL THEN 'feed' WHEN b IS NOT NULL THEN 'special_net' WHEN c IS NOT NULL THEN 'catalog' WHEN d IS NOT NULL THEN 'list_x' ELSE 'manual' END AS source,
-  CAST(coalesce(a, b, c, d) AS DOUBLE) AS cost FROM x""")
-def q_cost_ladder(t: Tables) -> DataFrame:
-    price, key = F.col("p_retailprice"), F.col("p_partkey")
-    source, cost = m.first_of([
-        ("feed", F.when(key % 5 == 0, price * 0.9)),
-        ("special_net", F.when(key % 3 == 0, 10.0)),
-        ("catalog", F.when(key % 2 == 0, price)),
-        ("list_x", F.when(F.col("p_size") > 25, m.money(price * 0.5))),
-    ])
-    return t.part.select("p_partkey", source.alias("source"), cost.alias("cost"))
-
-
-@carrier("""SELECT p_partkey, p_type, s.m AS multiplier, CASE WHEN s.m IS NULL THEN 'ECONOMY,LARGE,MEDIUM' END AS available
-  FROM part LEFT JOIN (VALUES ('economy', 0.4), ('medium', 0.5), ('large', 0.6)) s(k, m) ON lower(p_type) = s.k""".replace("s.m AS", "CAST(s.m AS DOUBLE) AS"))
-def q_tier_lookup(t: Tables) -> DataFrame:
-    tiers = t.spark.createDataFrame([("ECONOMY", 0.4), ("MEDIUM", 0.5), ("LARGE", 0.6)], "category string, multiplier double")
-    known = ",".join(sorted(["ECONOMY", "MEDIUM", "LARGE"]))
-    joined = t.part.join(F.broadcast(tiers), F.lower("p_type") == F.lower("category"), "left")
-    return joined.select("p_partkey", "p_type", "multiplier", F.when(F.col("multiplier").isNull(), known).alias("available"))
-
-
-@carrier("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'net' WHEN s_suppkey % 4 = 1 OR s_nationkey < 5 THEN 'list' WHEN s_suppkey % 4 = 2 THEN 'net' ELSE 'unknown' END AS basis FROM supplier""")
-def q_price_basis(t: Tables) -> DataFrame:
-    key = F.col("s_suppkey") % 4
-    basis = F.when(key == 0, "net").when((key == 1) | (F.col("s_nationkey") < 5), "list").when(key == 2, "net").otherwise("unknown")
-    return t.supplier.select("s_suppkey", basis.alias("basis"))
-
-
 @carrier("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END AS list_price, CASE WHEN p_partkey % 2 = 0 THEN 0.5 END AS multiplier,
   CASE WHEN p_partkey % 2 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_retailprice * 0.5 ELSE p_retailprice END AS cost FROM part""".replace("THEN 0.5 END", "THEN CAST(0.5 AS DOUBLE) END"))
 def q_net_vs_list(t: Tables) -> DataFrame:
