@@ -254,11 +254,6 @@ def q_status_for(t: Tables) -> DataFrame:
     return confident(t).select("p_partkey", status.alias("status"))
 
 
-@carrier(f"SELECT p_partkey FROM ({CONF}) WHERE conf < 0.5 OR (flagged AND p_name LIKE '%widget%')")
-def q_second_look(t: Tables) -> DataFrame:
-    return confident(t).where((F.col("conf") < 0.5) | (F.col("flagged") & F.col("p_name").contains("widget"))).select("p_partkey")
-
-
 @carrier(f"""SELECT CASE WHEN conf < 0.75 THEN 'red' WHEN flagged OR conf IS NULL THEN 'yellow' WHEN conf >= 0.9 THEN CASE WHEN dup THEN 'red' ELSE 'green' END ELSE 'yellow' END AS level, count(*) AS n FROM ({CONF}) GROUP BY ALL""")
 def q_confidence_levels(t: Tables) -> DataFrame:
     conf = F.col("conf")

@@ -79,41 +79,6 @@ def q_overlap_ratio(t: Tables) -> DataFrame:
     return layout.verified_pages(blocks, rows.where("l_returnflag <> 'N'"), "page", "line")
 
 
-KIND = """CASE WHEN trim(text) = '' THEN 'diagram' WHEN contains(text, '....') THEN 'toc' WHEN regexp_matches(text, '[$€][0-9]') AND n >= 5 THEN 'price_table' WHEN regexp_matches(text, '[$€][0-9]') THEN 'prices' WHEN regexp_matches(text, '[A-Z]{2,}-?[0-9]') THEN 'item_numbers' WHEN length(text) > 300 THEN 'prose' ELSE 'unknown' END"""
-SURE = {"diagram": 0.2, "toc": 0.7, "price_table": 0.9, "prices": 0.6, "item_numbers": 0.8, "prose": 0.5, "unknown": 0.3}
-TITLE = "trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1])"
-KINDS = f"SELECT doc_id, text, n, {KIND} AS kind FROM (SELECT doc_id, text, len(string_split(text, chr(10))) AS n FROM documents)"
-SURE_SQL = "CAST(CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SURE.items()) + " END AS DOUBLE)"
-
-
-@carrier(f"SELECT doc_id, kind, {SURE_SQL} AS confidence FROM ({KINDS})")
-def q_page_kind(t: Tables) -> DataFrame:
-    text = F.col("text")
-    prices = text.rlike("[$€][0-9]")
-    kind = (
-        F.when(F.trim(text) == "", "diagram").when(text.contains("...."), "toc").when(prices & (F.size(layout.lines(text)) >= 5), "price_table").when(prices, "prices")
-        .when(text.rlike("[A-Z]{2,}-?[0-9]"), "item_numbers").when(F.length(text) > 300, "prose").otherwise("unknown")
-    )
-    sure = F.create_map(*[F.lit(x) for pair in SURE.items() for x in pair])
-    return t.documents.select("doc_id", kind.alias("kind")).withColumn("confidence", sure[F.col("kind")])
-
-
-@carrier(f"SELECT doc_id, kind, {TITLE} AS title, n AS lines, length(text) AS chars FROM ({KINDS})")
-def q_describe_page(t: Tables) -> DataFrame:
-    lines = layout.lines(F.col("text"))
-    title = F.trim(F.get(F.filter(lines, lambda x: F.trim(x) != ""), F.lit(0)))
-    about = t.documents.select("doc_id", title.alias("title"), F.size(lines).cast("long").alias("lines"), F.length("text").cast("long").alias("chars"))
-    return q_page_kind(t).join(about, "doc_id").select("doc_id", "kind", "title", "lines", "chars")
-
-
-@carrier("""SELECT doc_id, concat_ws(',', CASE WHEN contains(lower(text), 'http') THEN 'links' END, CASE WHEN contains(text, '@') THEN 'contact' END, CASE WHEN regexp_matches(text, '[0-9]{3}') THEN 'numbers' END) AS roles,
-  CASE WHEN length(text) < 40 THEN 'no text layer' WHEN length(text) < 500 THEN 'text-poor' END AS visual_reason FROM documents""")
-def q_page_roles(t: Tables) -> DataFrame:
-    text = F.col("text")
-    roles = F.concat_ws(",", F.when(F.lower(text).contains("http"), "links"), F.when(text.contains("@"), "contact"), F.when(text.rlike("[0-9]{3}"), "numbers"))
-    return t.documents.select("doc_id", roles.alias("roles"), F.when(F.length(text) < 40, "no text layer").when(F.length(text) < 500, "text-poor").alias("visual_reason"))
-
-
 HEADS = ["LIST", "NET", "COST", "EACH"]
 HEADLINE = "concat_ws(' | ', 'ITEM', " + ", ".join(f"CASE WHEN (p_partkey + {i}) % {i + 2} = 0 THEN '{h}' END" for i, h in enumerate(HEADS)) + ", CASE WHEN p_size > 25 THEN 'LIST' END)"
 

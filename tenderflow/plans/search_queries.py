@@ -8,19 +8,36 @@ from pyspark.sql import functions as F
 from tenderflow.functions import text as x
 from tenderflow.operators import layout, search
 from tenderflow.plans.base import carrier, places
-from tenderflow.plans.layout_queries import KINDS, SURE_SQL, TITLE, q_page_kind
 from tenderflow.sources.tables import Tables
 
 QUERY, TERMS = "the price of hand and re1234", ["HAND", "RE1234"]
 PREFIXES = "[A-Z]{2}[0-9]{2,4}"
 
+KIND = """CASE WHEN trim(text) = '' THEN 'diagram' WHEN contains(text, '....') THEN 'toc' WHEN regexp_matches(text, '[$€][0-9]') AND n >= 5 THEN 'price_table' WHEN regexp_matches(text, '[$€][0-9]') THEN 'prices' WHEN regexp_matches(text, '[A-Z]{2,}-?[0-9]') THEN 'item_numbers' WHEN length(text) > 300 THEN 'prose' ELSE 'unknown' END"""
+SURE = {"diagram": 0.2, "toc": 0.7, "price_table": 0.9, "prices": 0.6, "item_numbers": 0.8, "prose": 0.5, "unknown": 0.3}
+TITLE = "trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1])"
+KINDS = f"SELECT doc_id, text, n, {KIND} AS kind FROM (SELECT doc_id, text, len(string_split(text, chr(10))) AS n FROM documents)"
+SURE_SQL = "CAST(CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SURE.items()) + " END AS DOUBLE)"
+
+
+def page_kinds(t: Tables) -> DataFrame:
+    """A kind and confidence for each page that ranking takes as given; how pages are described is `page_queries`' matter."""
+    text = F.col("text")
+    prices = text.rlike("[$€][0-9]")
+    kind = (
+        F.when(F.trim(text) == "", "diagram").when(text.contains("...."), "toc").when(prices & (F.size(layout.lines(text)) >= 5), "price_table").when(prices, "prices")
+        .when(text.rlike("[A-Z]{2,}-?[0-9]"), "item_numbers").when(F.length(text) > 300, "prose").otherwise("unknown")
+    )
+    sure = F.create_map(*[F.lit(x) for pair in SURE.items() for x in pair])
+    return t.documents.select("doc_id", kind.alias("kind")).withColumn("confidence", sure[F.col("kind")])
+
 
 def pages(t: Tables) -> DataFrame:
     lines = layout.lines(F.col("text"))
     title = F.coalesce(F.trim(F.get(F.filter(lines, lambda v: F.trim(v) != ""), F.lit(0))), F.lit(""))
     codes = F.array_distinct(F.regexp_extract_all("text", F.lit(PREFIXES), 0))
     described = t.documents.select("doc_id", title.alias("title"), F.col("text").alias("description"), codes.alias("prefixes"), F.array("lang", "source").alias("keywords"), F.col("text").rlike("[$€][0-9]").alias("has_prices"))
-    return described.join(q_page_kind(t), "doc_id")
+    return described.join(page_kinds(t), "doc_id")
 
 
 PAGES = f"SELECT doc_id, coalesce({TITLE}, '') AS title, text, list_distinct(regexp_extract_all(text, '{PREFIXES}')) AS prefixes, coalesce(lang, '') || ' ' || coalesce(source, '') AS kw, regexp_matches(text, '[$€][0-9]') AS prices, kind, {SURE_SQL} AS confidence FROM ({KINDS}) JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)"
