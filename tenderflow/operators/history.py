@@ -102,3 +102,67 @@ def as_of_closed(start: Column, end: Column, when: Column) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     return F.round(100 * part / F.nullif(whole, F.lit(0)), 0)
+
+
+#: Characters of a mark or description that tell two rows apart.
+MARK = 60
+
+
+def marked_diff(old: DataFrame, new: DataFrame, scope: str, watched: list[str], order: str) -> DataFrame:
+    """scope, mark, change (added, removed, changed), fields, before and after of two versions of rows (scope, mark, description, order, watched).
+
+    Rows are told apart by their mark, or their description where that is empty, cut to MARK characters; of rows that agree in
+    that the last by order counts. Watched fields are compared as text; before and after hold those that differ.
+    """
+
+    def last(rows: DataFrame, name: str) -> DataFrame:
+        mark = F.left(F.coalesce(F.nullif(F.col("mark").cast("string"), F.lit("")), F.col("description").cast("string"), F.lit("")), F.lit(MARK))
+        cells = F.struct(*[F.col(c).cast("string").alias(c) for c in watched])
+        return rows.groupBy(F.col(scope), mark.alias("key")).agg(F.max_by(cells, order).alias(name))
+
+    joined = last(old, "a").join(last(new, "b"), [scope, "key"], "full_outer")
+    fields = F.array_compact(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in watched]))
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.size(fields) > 0, "changed")
+    rows = joined.withColumn("change", change).withColumn("fields", F.when(change == "changed", fields)).where("change IS NOT NULL")
+
+    def shown(side: str) -> Column:
+        every = F.create_map(*[x for c in watched for x in (F.lit(c), F.col(f"{side}.{c}"))])
+        return F.when(F.col("change") == "changed", F.map_filter(every, lambda k, _: F.array_contains("fields", k)))
+
+    return rows.select(scope, F.col("key").alias("mark"), "change", "fields", shown("a").alias("before"), shown("b").alias("after"))
+
+
+#: Characters of an excerpt that its provenance keeps.
+EXCERPT = 240
+
+
+def filled_scope(stored: DataFrame, found: DataFrame, key: str, fields: list[str], lists: list[str]) -> DataFrame:
+    """stored with its empty fields filled from found, and filled (names) and sources (field to page, file and excerpt) of what was.
+
+    A stored value wins; null and "" are empty, in found as well. The fields in lists are arrays, to which names are added that
+    they do not have, in order, trimmed and without blanks. found (key unique) also has field_sources (map of structs page,
+    file, excerpt), source_page and files (array), which stand in where a field names no page or file of its own.
+    """
+    some = found.select(key, F.struct(*[c for c in found.columns if c != key]).alias("f"))
+    rows = stored.join(some, key, "left")
+    none = F.array().cast("array<string>")
+
+    def names(x: Column) -> Column:
+        return F.filter(F.transform(F.coalesce(x, none), lambda v: F.trim(v)), lambda v: v != "")
+
+    values, filled = {}, []
+    for c in fields:
+        own, new = F.nullif(F.col(c), F.lit("")), F.nullif(F.col(f"f.{c}"), F.lit(""))
+        values[c] = F.coalesce(own, new, F.col(c))
+        filled.append(F.when(own.isNull() & new.isNotNull(), c))
+    for c in lists:
+        merged = F.array_union(names(F.col(c)), names(F.col(f"f.{c}")))
+        more = F.size(F.array_except(names(F.col(f"f.{c}")), names(F.col(c)))) > 0
+        values[c] = F.when(more, merged).otherwise(F.col(c))
+        filled.append(F.when(more, c))
+    rows = rows.withColumn("filled", F.array_compact(F.array(*filled)))
+    source = lambda c: F.try_element_at("f.field_sources", c)
+    page, file = lambda c: F.coalesce(source(c)["page"], F.col("f.source_page")), lambda c: F.coalesce(source(c)["file"], F.get("f.files", F.lit(0)))
+    entry = lambda c: F.struct(page(c).alias("page"), file(c).alias("file"), F.left(F.trim(source(c)["excerpt"]), F.lit(EXCERPT)).alias("excerpt"))
+    sources = F.map_from_arrays(F.col("filled"), F.transform("filled", entry))
+    return rows.select(*[values[c].alias(c) if c in values else F.col(c) for c in stored.columns], "filled", sources.alias("sources"))
