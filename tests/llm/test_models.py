@@ -271,3 +271,5 @@ def test_urls_without_classes(spark):
     df = spark.createDataFrame([(1, "http://x.org/"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in url_filter.judge(df, RULES).collect()} == {"allow"}
     assert url_filter.judge(df.limit(0), RULES).count() == 0
+    clashing = spark.createDataFrame([(1, "http://a.net/fr/x", *["x"] * 6), (1, "http://a.net/fr/x", *["x"] * 6)], "page_id long, url string, host string, path string, rule string, verdict string, s string, value string")
+    assert [(r.page_id, r.host, r.rule) for r in url_filter.judge(clashing, RULES).collect()] == [(1, "a.net", "net/fr/")] * 2

@@ -69,6 +69,14 @@ def test_empty_tables(no_docs):
     assert piece_codec.digests(no_docs, MODEL).count() == piece_codec.encode_decode(no_docs, MODEL).count() == token_counts.token_counts(no_docs, VOCABULARY).count() == 0
 
 
+def test_clashing_columns_and_repeated_rows(odd_docs):
+    """Every row gives a row; columns of other names are not looked at."""
+    clashing = odd_docs.selectExpr("*", "1 AS ids", "'x' AS n_tokens", "'x' AS decoded", "'x' AS agrees", "'x' AS n_bytes")
+    for found in (piece_codec.digests(clashing, MODEL), piece_codec.encode_decode(clashing, MODEL), token_counts.token_counts(clashing, VOCABULARY)):
+        ids = [r.doc_id for r in found.collect()]
+        assert len(ids) == 13 and ids.count(8) == 2
+
+
 def test_query_columns(spark, folder):
     assert queries.op7_token_counts(spark, folder).dtypes[:4] == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_tokens", "bigint"), ("over_limit", "boolean")]
     assert queries.op2_sentencepiece(spark, folder).dtypes[:4] == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
