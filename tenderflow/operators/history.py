@@ -43,6 +43,7 @@ def numbered(df: DataFrame, coarse: dict[str, bool], fine: list[Column], name: s
     """Adds the place of each row in the order of the coarse columns (descending where true, nulls last), then fine.
 
     Rows are counted by their coarse values, the counts are added up, and each value's rows are numbered by themselves: no task holds all rows.
+    One task adds up a count for each distinct combination of coarse values, so these should be few beside the rows (dates, statuses).
     """
     order = [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in coarse.items()]
     sizes = df.groupBy(*coarse).agg(F.count("*").alias("_n"))

@@ -32,7 +32,7 @@ def telling(terms: Column) -> Column:
 
 
 def page_score(terms: Column, title: Column, description: Column, prefixes: Column, keywords: Column, has_prices: Column, kind: Column, confidence: Column) -> Column:
-    """How well a page answers the terms.
+    """How well a page answers the terms; the weights are fixed values.
 
     Each term counts once, by the first that holds: a code family that starts with it or that it starts with, the
     title, the keywords, the description. A term with a digit weighs more as a code or title. The whole phrase in title or keywords,
@@ -146,7 +146,7 @@ def sheet_order(kind: Column, roles: Column, score: Column, page: Column) -> lis
     return [F.when(kind == "schedule", 0).otherwise(1), F.when(F.array_contains(roles, "door_schedule"), 0).otherwise(1), F.when(F.array_contains(roles, "door_schedule_candidate"), 0).otherwise(1), F.desc(score), page]
 
 
-#: Roles for which a page is looked at, the most urgent first.
+#: Roles for which a page is looked at, the most urgent first.
 VISUAL_ROLES = ["door_schedule", "door_schedule_candidate", "hardware", "frp", "div10", "div08_specs", "floor_plan", "text_poor"]
 
 
