@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tenderflow.llm.components import components
 from tenderflow.llm.storage import semi_join_ids, small_batches, written
-from tenderflow.llm.words import byte_texts, mix, shingle_hashes, text_hashes
+from tenderflow.llm.words import byte_texts, mix, release, shingle_hashes, text_hashes
 
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS, PACKED = HASHES // ROWS, HASHES * BITS // 64
@@ -89,6 +89,7 @@ def shingle_set(text: bytes | None) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     names = ["doc_id", "n_shingles", "h1", "h2", "bands", *(f"s{i}" for i in range(PACKED))]
     for batch in batches:
         for part, texts in byte_texts(batch, "text"):
@@ -112,6 +113,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for part, texts in byte_texts(batch, "text"):
             bits = [np.packbits((minima(shingle_set(t), _FINE_XOR, _FINE_ODD) & np.uint32(1)).astype(np.uint8)).view(np.int64) for t in texts]
@@ -140,6 +142,7 @@ def _may_link(a: str, b: str, fine: bool = False) -> Column:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
     for batch in batches:
         for part, left in byte_texts(batch, "text_a", 128):
