@@ -102,15 +102,25 @@ def sheet_map(pages: DataFrame, terms: list[str]) -> DataFrame:
     return out.withColumn("char_count", F.length(F.regexp_replace(text, r"^\s+|\s+$", "")).cast("long")).where("score > 0 OR size(sheet_ids) > 0")
 
 
+def _found(text: str, low: str, needle: str, half: int) -> list[tuple[int, str]]:
+    out, at = [], low.find(needle)
+    while at >= 0:
+        out.append((at, text[max(at - half, 0) : at + len(needle) + half]))
+        at = low.find(needle, at + 1)
+    return out
+
+
 def text_hits(pages: DataFrame, needle: str, context: int = 160) -> DataFrame:
-    """Every place (from 0) of the needle in text, overlapping ones too, case aside, with the text around it."""
-    half, low = max(context // 2, 40), F.lower("text")
-    held = pages.where(low.contains(needle.lower()))
-    at = F.filter(F.sequence(F.lit(1), F.length(low)), lambda i: F.substr(low, i, F.lit(len(needle))) == needle.lower())
-    rows = held.withColumn("at", F.explode(at))
-    left = F.greatest(F.col("at") - 1 - half, F.lit(0))
-    around = F.substr(F.col("text"), left + 1, F.col("at") - 1 + len(needle) + half - left)
-    return rows.withColumn("place", (F.col("at") - 1).cast("long")).withColumn("context", around).drop("at")
+    """Every place (from 0) of the needle in text, overlapping ones too, case aside, with the text around it; an empty needle has none.
+
+    One pass over a text, however long: substr counts characters from the start, so a test of each place would be quadratic.
+    """
+    wanted, half = needle.lower(), max(context // 2, 40)
+    # the one character whose lower case is two, which would shift the places after it
+    low = F.lower(F.replace("text", F.lit("\u0130"), F.lit("i")))
+    held = pages.where(low.contains(wanted) if wanted else F.lit(False))
+    hits = F.udf(lambda text, lowered: _found(text, lowered, wanted, half), "array<struct<place: bigint, context: string>>")
+    return held.withColumn("hit", F.explode(hits("text", low))).select(*pages.columns, "hit.place", "hit.context")
 
 
 def block_hits(blocks: DataFrame, query: str, keep: int = 500) -> DataFrame:

@@ -97,6 +97,13 @@ def test_text_hits_overlap(spark):
     assert [(r.k, r.place, r.context) for r in rows] == [(1, 1, "Banana"), (1, 3, "Banana")]
 
 
+def test_text_hits_long_text(spark):
+    text = "x\U0001f600 " * 300_000 + "\u0130ANANA " + "y" * 100
+    rows = search.text_hits(spark.createDataFrame([(1, text)], "k long, text string"), "ana").collect()
+    assert [(r.place, r.context) for r in rows] == [(i, text[i - 80 : i + 83]) for i in (900_001, 900_003)]
+    assert search.text_hits(spark.createDataFrame([(1, "a")], "k long, text string"), "").count() == 0
+
+
 def test_sheet_map(spark):
     rows = search.sheet_map(spark.createDataFrame([(1, "Door door DOORS a4.0"), (2, "nothing"), (3, " TAS-1 "), (4, None)], "k long, text string"), ["door", "frame"]).collect()
     assert {r.k: (r.hits, r.score, r.sheet_ids, r.char_count) for r in rows} == {1: ({"door": 3}, 3, ["A4.0"], 20), 3: ({}, 0, ["TAS-1"], 5)}
