@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderflow.operators import layout, nested
+from tenderflow.operators import layout, matching, nested
 from tenderflow.plans.base import carrier, places
 from tenderflow.sources.tables import Tables
 
@@ -60,13 +60,8 @@ def q_char_budget(t: Tables) -> DataFrame:
 @carrier("""WITH m AS (SELECT a.p_partkey, b.p_partkey AS hit FROM part a JOIN part b ON a.p_name = b.p_name AND (a.p_type = b.p_type)::INT + (a.p_size // 10 = b.p_size // 10)::INT + (a.p_brand = b.p_brand)::INT >= 2 WHERE a.p_partkey % 4 = 0 AND b.p_partkey % 4 <> 0)
   SELECT a.p_partkey, CASE WHEN count(hit) = 1 THEN min(hit) END AS match, CASE WHEN count(hit) = 0 THEN 'not_found' WHEN count(hit) > 1 THEN 'ambiguous' END AS flag FROM part a LEFT JOIN m USING (p_partkey) WHERE a.p_partkey % 4 = 0 GROUP BY ALL""")
 def q_unique_match_join(t: Tables) -> DataFrame:
-    """Rows with the same mark and at least two of three values: joined on each pair of values, so that a common mark alone makes no pairs."""
-    values = {"kind": F.col("p_type"), "tens": F.floor(F.col("p_size") / 10).cast("string"), "maker": F.col("p_brand")}
-    keys = [F.struct(F.lit(f"{a}-{b}").alias("pair"), F.col("p_name").alias("mark"), values[a].alias("u"), values[b].alias("v")) for a, b in (("kind", "tens"), ("kind", "maker"), ("tens", "maker"))]
-    rows = t.part.select("p_partkey", F.explode(F.array(*keys)).alias("k"))
-    left, right = rows.where("p_partkey % 4 = 0"), rows.where("p_partkey % 4 <> 0").withColumnRenamed("p_partkey", "hit")
-    found = left.join(right, "k", "left").groupBy("p_partkey").agg(F.count_distinct("hit").alias("n"), F.min("hit").alias("hit"))
-    return found.select("p_partkey", F.when(F.col("n") == 1, F.col("hit")).alias("match"), F.when(F.col("n") == 0, "not_found").when(F.col("n") > 1, "ambiguous").alias("flag"))
+    """Rows with the same mark and at least two of three values; rows without a mark or one of the values match nothing."""
+    return matching.unique_matches(t.part.where("p_partkey % 4 = 0"), t.part.where("p_partkey % 4 <> 0"), "p_partkey", "p_name", [F.col("p_type"), F.floor(F.col("p_size") / 10), F.col("p_brand")])
 
 
 @carrier(f"""WITH w AS ({WORDS}), a AS (SELECT *, row_number() OVER () AS i FROM w WHERE l_returnflag = 'N'), s AS (SELECT a.page, i, max(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0))) FILTER (WHERE a.x1 > a.x0 AND b.x1 > b.x0) AS share, count(b.page) AS n

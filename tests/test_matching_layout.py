@@ -171,3 +171,15 @@ def test_sessions_by_walking_each_key(spark, monkeypatch, slot, batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert len(rows) == len(expected) and {tuple(r) for r in rows} == expected
     assert sessions.capped_sessions(frame.limit(0)).count() == 0
+
+
+def test_unique_matches_of_a_crowd(spark):
+    """A mark and values that 20,000 rows of each side share make no pairs; rows that lack a value match nothing."""
+    crowd = spark.range(20_000).select(F.col("id").alias("k"), F.lit("m").alias("mark"), F.lit("a").alias("x"), F.lit(1).alias("y"), F.lit("c").alias("z"))
+    kinds = "k long, mark string, x string, y int, z string"
+    some = [(-1, "n", "a", 1, "c"), (-2, "n", "a", 2, "d"), (-3, "o", "a", 1, None), (-4, None, "a", 1, "c"), (-5, "p", "a", 1, "c")]
+    other = [(-11, "n", "a", 1, "q"), (-12, "n", "b", 1, "q"), (-13, "o", "a", 1, "c"), (-14, None, "a", 1, "c"), (-15, "p", "a", 1, "c"), (-16, "o", "a", 1, None)]
+    values = [F.col("x"), F.col("y"), F.col("z")]
+    found = matching.unique_matches(crowd.union(spark.createDataFrame(some, kinds)), crowd.union(spark.createDataFrame(other, kinds)), "k", "mark", values)
+    rows = found.groupBy("match", "flag").agg(F.count("*").alias("n"), F.max("k").alias("k")).collect()
+    assert {(r.match, r.flag, r.n, r.k) for r in rows} == {(None, "ambiguous", 20_000, 19_999), (-11, None, 1, -1), (-15, None, 1, -5), (None, "not_found", 3, -2)}
