@@ -1,12 +1,14 @@
 """Nested JSON walked level by level: items at any depth, and the blocks of parsed pages.
 
-Both walks are recursive queries over variants: each round takes one level apart with variant_explode, so nothing runs row
-by row in Python and no depth is fixed beforehand (Spark's parser refuses documents nested deeper than 1,000 levels, which
-count as malformed). The order of a depth-first walk is that of the paths.
+Both walks go through a document's variant inside its own row, a step for each level, so no level is dealt or stored, nothing
+runs row by row in Python and no depth is fixed beforehand (Spark's parser refuses documents nested deeper than 1,000
+levels, which count as malformed). The order of a depth-first walk is that of the paths.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,31 +16,43 @@ from pyspark.sql import Window as W
 #: Keys below which items may be nested, after the items of a node itself; keys of a page's blocks.
 NESTED = ["hardware_sets", "openings", "groups"]
 SUB_BLOCKS = ["list_items", "code_body"]
-DEEPEST = 1_000
-#: Spark's limit on the rows of a recursive query, which is lifted where a session leaves it as it comes.
-LIMIT = "spark.sql.cteRecursionRowLimit"
+#: Steps of a walk, in turns that are left out once nothing is left to walk; together more than the levels that Spark's parser takes.
+STEPS = [10, 40, 160, 800]
 BOX = "array<double>"
 
 
-def _array(x: str) -> str:
-    return f"try_variant_get({x}, '$', 'array<variant>')"
+def _array(x: Column) -> Column:
+    return F.try_variant_get(x, "$", "array<variant>")
+
+
+def _object(x: Column) -> Column:
+    return F.try_variant_get(x, "$", "map<string, variant>")
+
+
+def _node(path: Column, kind: Column | str, node: Column) -> Column:
+    return F.struct(path.alias("path"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), node.alias("node"))
 
 
-def _object(x: str) -> str:
-    return f"try_variant_get({x}, '$', 'map<string, variant>')"
+def _none(kind: str = "struct<path: array<int>, kind: string, node: variant>") -> Column:
+    return F.array().cast(f"array<{kind}>")
 
 
-def _walk(source: DataFrame, start: str, step: str, where: str) -> DataFrame:
-    """key, path, kind and node of a recursive walk; `start` gives path, kind and node of source, `step` path and kind of a child v of w."""
-    spark = source.sparkSession
-    if spark.conf.get(LIMIT, "1000000") == "1000000":
-        spark.conf.set(LIMIT, "-1")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(key, path, kind, node) MAX RECURSION LEVEL {DEEPEST + 10} AS (
-          SELECT key, {start} FROM {{source}} UNION ALL SELECT w.key, {step}, v.value FROM walk w, LATERAL variant_explode(w.node) v WHERE {where})
-        SELECT * FROM walk""",
-        source=source,
-    )
+def _walk(roots: Column, children: Callable[[Column], Column], keep: Callable[[Column], Column], made: Callable[[Column], Column], kind: str) -> Column:
+    """What `made` makes (of type kind) of the nodes that `keep` keeps, of a walk from roots to children, each an array of nodes (path, kind, node)."""
+
+    def step(acc: Column, _: Column) -> Column:
+        todo = acc["todo"]
+        done = F.concat(acc["done"], F.transform(F.filter(todo, keep), made))
+        return F.when(F.size(todo) == 0, acc).otherwise(F.struct(F.flatten(F.transform(todo, children)).alias("todo"), done.alias("done")))
+
+    def more(steps: int) -> Callable[[Column], Column]:
+        turns = F.array_repeat(F.lit(0), steps)
+        return lambda acc: F.aggregate(F.when(F.size(acc["todo"]) > 0, turns).otherwise(F.array().cast("array<int>")), acc, step)
+
+    walk = F.array(F.struct(roots.alias("todo"), _none(kind).alias("done")))
+    for steps in STEPS:
+        walk = F.transform(walk, more(steps))
+    return F.get(walk, F.lit(0))["done"]
 
 
 def harvested(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,18 +62,18 @@ def harvested(docs: DataFrame, key: str, text: str) -> DataFrame:
     documents give no rows.
     """
     source = docs.select(F.col(key).alias("key"), F.try_parse_json(text).alias("node")).where("node IS NOT NULL")
-    places = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(["items", *NESTED]))
-    nested = ", ".join(f"'{k}'" for k in NESTED)
-    found = _walk(
-        source,
-        "CAST(array() AS array<int>), 'node', node",
-        f"concat(w.path, array(CASE v.key {places} ELSE v.pos END)), CASE WHEN w.kind = 'items' THEN 'item' WHEN v.key = 'items' THEN 'items' ELSE 'node' END",
-        f"""CASE WHEN w.kind = 'items' THEN {_object("v.value")} IS NOT NULL WHEN v.key = 'items' THEN {_array("v.value")} IS NOT NULL
-          WHEN v.key IS NULL OR v.key IN ({nested}) THEN {_array("v.value")} IS NOT NULL OR {_object("v.value")} IS NOT NULL ELSE false END""",
-    )
-    rows = found.where("kind = 'item'")
-    place = F.row_number().over(W.partitionBy("key").orderBy("path")) - 1
-    return rows.select(F.col("key").alias(key), place.alias("pos"), F.to_json("node").alias("item"))
+
+    def children(w: Column) -> Column:
+        members = F.transform(_array(w["node"]), lambda v, i: _node(F.array_append(w["path"], i), F.when(w["kind"] == "items", "item").otherwise("node"), v))
+        members = F.filter(members, lambda m: _object(m["node"]).isNotNull() | ((m["kind"] == "node") & _array(m["node"]).isNotNull()))
+        named = [_node(F.array_append(w["path"], F.lit(i)), "node" if i else "items", F.try_variant_get(w["node"], f"$.{k}", "variant")) for i, k in enumerate(["items", *NESTED])]
+        named = F.filter(F.array(*named), lambda m: _array(m["node"]).isNotNull() | ((m["kind"] == "node") & _object(m["node"]).isNotNull()))
+        return F.coalesce(members, named)
+
+    roots = F.array(_node(F.array().cast("array<int>"), "node", F.col("node")))
+    items = _walk(roots, children, lambda w: w["kind"] == "item", lambda w: F.struct(w["path"].alias("path"), F.to_json(w["node"]).alias("item")), "struct<path: array<int>, item: string>")
+    rows = source.select("key", F.posexplode(F.array_sort(items)).alias("pos", "found"))
+    return rows.select(F.col("key").alias(key), "pos", F.col("found.item").alias("item"))
 
 
 def _text(node: Column, name: str) -> Column:
@@ -109,20 +123,23 @@ def blocks(pages: DataFrame, key: str, payload: str) -> DataFrame:
     parsed = pages.select(F.col(key).alias("key"), F.try_parse_json(payload).alias("page")).where("page IS NOT NULL")
     lists = {c: F.try_variant_get("page", f"$.{c}", "array<variant>") for c in ("para_blocks", "preproc_blocks")}
     body = F.when(F.size(lists["para_blocks"]) > 0, F.try_variant_get("page", "$.para_blocks", "variant")).otherwise(F.try_variant_get("page", "$.preproc_blocks", "variant"))
-    parts = [F.struct(F.lit(0).alias("part"), body.alias("node"))] + [F.struct(F.lit(i).alias("part"), F.try_variant_get("page", f"$.{c}", "variant").alias("node")) for i, c in ((1, "discarded_blocks"), (2, "blocks"))]
-    source = parsed.select("key", F.inline(F.array(*parts))).where(F.expr(f"{_array('node')} IS NOT NULL"))
-    inner = "coalesce(size(try_variant_get(w.node, '$.blocks', 'array<variant>')) > 0, false)"
-    subs = ", ".join(f"'{k}'" for k in SUB_BLOCKS)
-    filled = f"size({_array('v.value')}) > 0"
-    found = _walk(
-        source,
-        "array(part), 'list', node",
-        "concat(w.path, array(CASE WHEN w.kind = 'list' THEN v.pos WHEN v.key = 'code_body' THEN 1 ELSE 0 END)), CASE WHEN w.kind = 'list' THEN 'block' ELSE 'list' END",
-        f"""CASE WHEN w.kind = 'list' THEN {_object("v.value")} IS NOT NULL WHEN {inner} THEN v.key = 'blocks' AND {filled}
-          WHEN v.key IN ({subs}) THEN {filled} AND try_variant_get(v.value, '$[0]', 'map<string, variant>') IS NOT NULL ELSE false END""",
-    )
+    parts = [body, *[F.try_variant_get("page", f"$.{c}", "variant") for c in ("discarded_blocks", "blocks")]]
+    roots = F.filter(F.array(*[_node(F.array(F.lit(i)), "list", x) for i, x in enumerate(parts)]), lambda w: _array(w["node"]).isNotNull())
+
+    def inner(node: Column) -> Column:
+        return F.coalesce(F.size(F.try_variant_get(node, "$.blocks", "array<variant>")) > 0, F.lit(False))
+
+    def children(w: Column) -> Column:
+        members = F.transform(_array(w["node"]), lambda v, i: _node(F.array_append(w["path"], i), "block", v))
+        members = F.filter(members, lambda m: _object(m["node"]).isNotNull())
+        subs = F.array(*[_node(F.array_append(w["path"], F.lit(i)), "list", F.try_variant_get(w["node"], f"$.{k}", "variant")) for i, k in enumerate(SUB_BLOCKS)])
+        subs = F.filter(subs, lambda m: _object(F.get(_array(m["node"]), F.lit(0))).isNotNull())
+        own = F.array(_node(F.array_append(w["path"], F.lit(0)), "list", F.try_variant_get(w["node"], "$.blocks", "variant")))
+        return F.when(w["kind"] == "list", members).when(inner(w["node"]), own).otherwise(subs)
+
+    leaves = _walk(roots, children, lambda w: (w["kind"] == "block") & ~inner(w["node"]), lambda w: F.struct(w["path"].alias("path"), w["node"].alias("node")), "struct<path: array<int>, node: variant>")
+    own = parsed.select("key", F.inline(leaves))
     node = F.col("node")
-    own = found.where("kind = 'block'").where(~F.coalesce(F.size(F.try_variant_get(node, "$.blocks", "array<variant>")) > 0, F.lit(False)))
     lines = _objects(node, "lines")
     joined = F.array_join(F.filter(F.transform(lines, _line), lambda x: x != ""), "\n")
     text = _strip(F.coalesce(_text(node, "content"), F.when(lines.isNotNull(), joined), _spans(node), F.lit("")))

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tenderflow.operators import nested
 
@@ -154,3 +155,15 @@ def test_window_pages(spark):
     assert rows == [(0, 10, 612.0, 792.0), (0, 11, 1.0, 2.0), *[(k, 10, 612.0, 792.0) for k in (1, 2, 3, 4)]]
     whole = nested.window_pages(frame.where("k = 1"), "k", "p", "start")
     assert [r.text for r in nested.blocks(whole, "page", "payload").collect()] == ["x"]
+
+
+def test_walks_deal_no_levels(spark):
+    """Items and blocks are walked within their rows: no recursive query, and items need no shuffle at all; 880 levels deep."""
+    deep = '{"id": 0, "items": [' * 440 + "]}" * 440
+    docs = spark.createDataFrame([(1, deep), (2, '{"openings": [[{"items": [{"id": 1}, 2, {"id": 3}]}]]}')], "k long, doc string")
+    items, blocks = nested.harvested(docs, "k", "doc"), nested.blocks(docs, "k", "doc")
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in (items, blocks)]
+    assert "UnionLoop" not in plans[0] + plans[1] and "Window" not in plans[0]
+    assert {r.k: r.n for r in items.groupBy("k").agg(F.count("*").alias("n")).collect()} == {1: 439, 2: 2}
+    page = '{"para_blocks": [' + '{"blocks": [' * 300 + '{"content": "x"}' + "]}" * 300 + "]}"
+    assert [(r.n, r.text) for r in nested.blocks(spark.createDataFrame([(1, page)], "k long, doc string"), "k", "doc").collect()] == [(1, "x")]
