@@ -62,8 +62,20 @@ def together(*frames: DataFrame) -> DataFrame:
 
 
 def in_scope(bids: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of bids that are not marked as out of scope."""
-    return rows.join(bids.where(Fields(bids).true("no_scope")).select("bid"), "bid", "left_anti")
+    """Rows of bids that are not marked as out of scope.
+
+    An outer join with a mark: Spark would move an anti join below what its callers cut the rows down to, and sort whole rows.
+    """
+    out = bids.where(Fields(bids).true("no_scope")).select("bid").distinct().withColumn("_out", F.lit(True))
+    return rows.join(out, "bid", "left").where("_out IS NULL").drop("_out")
+
+
+def scoped_findings(bids: DataFrame, df: DataFrame, subject: Column, rules: Rules) -> DataFrame:
+    """findings of the rows of bids in scope, judged before the join: only bid, subject and the numbers of the rules that hold are dealt."""
+    hits = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(i)) for i, (_, _, cond) in enumerate(rules)]))
+    judged = df.select("bid", subject.alias("subject"), hits.alias("hits")).where(F.size("hits") > 0)
+    names = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity")) for name, severity, _ in rules])
+    return in_scope(bids, judged).select("bid", "subject", F.explode("hits").alias("i")).select("bid", "subject", F.get(names, F.col("i")).alias("hit")).select("bid", "subject", "hit.rule", "hit.severity")
 
 
 def line_rules(f: Fields) -> Rules:
@@ -98,26 +110,26 @@ def line_label(f: Fields) -> Column:
 def answered_by_catalog(lines: DataFrame, catalog: DataFrame, vendors: list[str]) -> DataFrame:
     """Lines priced off the page of a file though the catalog (part) holds one of the ways to write their part, with or without a vendor before it."""
     f = Fields(lines)
-    suspects = lines.where((f("cost_source") == "LIST_X_MULTIPLIER") & f.said("part_number") & f("cost_source_detail").rlike(CITES_FILE)).withColumn("asked", F.trim(f("part_number")))
+    suspects = lines.where((f("cost_source") == "LIST_X_MULTIPLIER") & f.said("part_number") & f("cost_source_detail").rlike(CITES_FILE)).select("bid", line_label(f).alias("subject"), F.trim(f("part_number")).alias("asked"))
     ways = suspects.select("asked").distinct().select("asked", F.explode(parts.candidates(F.col("asked"), vendors)).alias("way"))
     held = ways.join(catalog.select(F.upper("part").alias("held")), F.upper("way") == F.col("held"), "left_semi").select("asked").distinct()
-    return findings(suspects.join(held, "asked", "left_semi"), line_label(f), [("catalog_answers", "problem", F.lit(True))])
+    return findings(suspects.join(held, "asked", "left_semi"), F.col("subject"), [("catalog_answers", "problem", F.lit(True))])
 
 
 def pricing_contract(bids: DataFrame, lines: DataFrame, sets: DataFrame, catalog: DataFrame, vendors: list[str] | None = None) -> DataFrame:
     """bids (bid, no_scope), quote lines, hardware sets read off the drawings (bid, hardware_set) and the product catalog (part)."""
-    quoted, none = in_scope(bids, lines), Fields(bids).true("no_scope")
-    f = Fields(quoted)
-    sums = lines.groupBy("bid").agg(F.count("*").alias("n"), F.count(Fields(lines)("cost")).alias("priced"))
+    none, f = Fields(bids).true("no_scope"), Fields(lines)
+    sums = lines.groupBy("bid").agg(F.count("*").alias("n"), F.count(f("cost")).alias("priced"))
     whole = findings(
         bids.join(sums, "bid", "left"),
         F.lit("bid"),
         [("nothing_to_price", "warning", none), ("no_lines", "problem", ~none & F.col("n").isNull()), ("entirely_manual", "warning", ~none & (F.col("priced") == 0))],
     )
-    groups = quoted.select("bid", f("group_name").alias("hardware_set")).distinct()
-    read = sets.where(Fields(sets).filled("hardware_set")).select("bid", F.col("hardware_set").cast("string")).distinct().join(quoted.select("bid").distinct(), "bid", "left_semi")
+    groups = lines.select("bid", f("group_name").alias("hardware_set")).distinct()
+    read = in_scope(bids, sets.where(Fields(sets).filled("hardware_set")).select("bid", F.col("hardware_set").cast("string")).distinct())
+    read = read.join(sums.select("bid"), "bid", "left_semi")
     unquoted = findings(read.join(groups, ["bid", "hardware_set"], "left_anti"), F.col("hardware_set"), [("set_without_line", "warning", F.lit(True))])
-    return together(whole, findings(quoted, line_label(f), line_rules(f)), unquoted, answered_by_catalog(quoted, catalog, vendors or []))
+    return together(whole, scoped_findings(bids, lines, line_label(f), line_rules(f)), unquoted, in_scope(bids, answered_by_catalog(lines, catalog, vendors or [])))
 
 
 def opening_rules(f: Fields) -> Rules:
@@ -174,8 +186,7 @@ def extraction_contract(bids: DataFrame, openings: DataFrame) -> DataFrame:
 
 def delivery_contract(bids: DataFrame, openings: DataFrame, lines: DataFrame) -> DataFrame:
     """What holds back a quote for a customer, from the rows themselves. bids may hold brand_mismatch and papers, the names of files written (null: not judged)."""
-    drawn, quoted, b = in_scope(bids, openings), in_scope(bids, lines), Fields(bids)
-    f, q = Fields(drawn), Fields(quoted)
+    f, q, b = Fields(openings), Fields(lines), Fields(bids)
     accessory = by_hand(f) & ~f.filled("door_number")
     sure = f("confidence", "double")
     unsure = sure.isNull() | F.isnan(sure) | F.abs(sure).isin(float("inf")) | (sure < CONFIDENCE_FLOOR)
@@ -185,7 +196,7 @@ def delivery_contract(bids: DataFrame, openings: DataFrame, lines: DataFrame) ->
     of_lines: Rules = [("unsure_match", "problem", F.isnan(match) | F.abs(match).isin(float("inf")) | (match < CONFIDENCE_FLOOR))]
     cost = q("cost").try_cast("double")
     good = (cost >= 0) & ~F.isnan(cost) & (cost != float("inf"))
-    sums = quoted.groupBy("bid").agg(F.count("*").alias("n"), F.count_if(good).alias("priced"))
+    sums = in_scope(bids, lines.groupBy("bid").agg(F.count("*").alias("n"), F.count_if(good).alias("priced")))
     out, papers = b.true("no_scope"), b("papers", "array<string>")
     lacks = lambda name: ~out & ~F.array_contains(papers, name)
     of_bids: Rules = [
@@ -198,4 +209,4 @@ def delivery_contract(bids: DataFrame, openings: DataFrame, lines: DataFrame) ->
         ("no_review_summary", "warning", lacks("review_summary.html")),
         ("no_email_draft", "warning", lacks("quotation_email_draft.md")),
     ]
-    return together(findings(bids.join(sums, "bid", "left"), F.lit("bid"), of_bids), findings(drawn, opening_label(f), of_openings), findings(quoted, line_label(q), of_lines))
+    return together(findings(bids.join(sums, "bid", "left"), F.lit("bid"), of_bids), scoped_findings(bids, openings, opening_label(f), of_openings), scoped_findings(bids, lines, line_label(q), of_lines))

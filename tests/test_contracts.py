@@ -171,3 +171,15 @@ def test_bare_frames(spark):
     assert "unnamed" in rules(priced(spark, bid)) and "bad_box" in rules(contracts.extraction_contract(bid, bid))
     assert rules(contracts.delivery_contract(bid, bid, bid)) == ["nothing_priced", "unresolved_fire_rating", "unresolved_handing", "unsure_opening"]
     assert rules(contracts.extraction_contract(bid.limit(0), bid.limit(0))) == []
+
+
+def test_only_findings_are_dealt(spark):
+    """Rows are judged before they meet the bids out of scope: no anti join, which Spark would move below the judgement, and no whole row in a join."""
+    wide = rows(spark, LINE, LINE_TYPE, {"bid": 1, "confidence": 0.5}, {"bid": 2, "confidence": 0.5})
+    openings = rows(spark, OPENING, OPENING_TYPE, {"bid": 1, "handing": "tbd"}, {"bid": 2, "handing": "tbd"})
+    bids = spark.createDataFrame([(1, False), (2, True)], "bid long, no_scope boolean")
+    held = contracts.delivery_contract(bids, openings, wide)
+    assert "LeftAnti" not in held._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.bid, r.rule) for r in held.collect()) == [(1, "unresolved_handing"), (1, "unsure_match")]
+    bad = rows(spark, LINE, LINE_TYPE, {"bid": 1, "quantity": ""}, {"bid": 2, "quantity": ""})
+    assert [(r.bid, r.rule) for r in priced(spark, bad, [(1, False), (2, True)]).collect() if r.subject != "bid"] == [(1, "missing_quantity")]
