@@ -339,3 +339,11 @@ def test_live_attempts(spark):
     assert sorted((r.who, r.live) for r in sessions.live_attempts(frame, "who", "at").collect()) == [("a", 1), ("a", 1), ("a", 2), ("a", 2), ("b", 1)]
     counts = {(r.who, r.n) for r in sessions.streamed_attempts(frame.withColumn("at", F.col("at").cast("timestamp")), "who", "at").collect()}
     assert counts == {("a", 2), ("a", 1), ("b", 1)}
+
+
+def test_prior_similar_meets_no_prior_twice(spark):
+    """Pairs carry their score: three joins for three columns and none on the newest rows, which all pairs share; a pair found by several columns counts once."""
+    bids = spark.range(400).selectExpr("id", "id % 2 AS a", "'x' AS b", "id % 3 AS c", "id AS day")
+    found = history.prior_similar(bids.where("id = 0"), bids, "id", {"a": 3, "b": 2, "c": 1}, "day", newest=6, limit=6)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 3
+    assert {(r.prior, r.score) for r in found.collect()} == {(399, 3), (398, 5), (397, 2), (396, 6), (395, 2), (394, 5)}
