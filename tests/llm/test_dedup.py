@@ -195,6 +195,41 @@ def test_near_passages_behind_fragments(spark, sayings):
     assert found >= 0.9 * len(places)
 
 
+def test_every_passage_is_told_in_groups_and_crowds(spark, sayings):
+    """Each passage of each pair, by brute force over all pairs, lies inside one that is told; in small groups each pair is told.
+
+    40 documents begin with one boilerplate, of which the smallest holds a fragment; after it and one changed word some share twelve words more.
+    Three documents share pairwise near variants of one passage.
+    """
+    boiler, more, passage = sayings(56, 1, 10**6), sayings(12, 2, 10**6), sayings(64, 3, 10**6)
+    docs = {0: [*boiler[:30], *sayings(80, 50, 10**6)]}
+    for k in range(1, 40):
+        docs[k] = [*boiler, f"own{k}", *(more if k % 3 == 0 else []), *sayings(60, 100 + k, 10**6)]
+    for k in range(3):
+        rough = list(passage)
+        rough[30 + k] = f"new{k}"
+        docs[50 + k] = [*sayings(60, 200 + k, 10**6), *rough, *sayings(60, 300 + k, 10**6)]
+    rows = substring_dedup.repeated_passages(frame(spark, {i: " ".join(w) for i, w in docs.items()})).collect()
+    told: dict[int, set[tuple[int, int]]] = {}
+    for r in rows:
+        told.setdefault(r.doc_id, set()).add((r.start_word, r.start_word + r.n_words))
+    hashed = {i: substring_dedup.word_hashes([w.encode() for w in words]) for i, words in docs.items()}
+    for i in docs:
+        for j in (j for j in docs if j < i):
+            for start, n, _ in substring_dedup.passages(hashed[i], hashed[j]):
+                assert any(a <= start and start + n <= b for a, b in told.get(i, ())), (i, j, start, n)
+    assert {(r.doc_id, r.match_id) for r in rows if r.doc_id >= 50} == {(51, 50), (52, 50), (52, 51)}
+
+
+def test_a_passage_of_many_pieces(sayings):
+    """More than six chains stand open before the passage goes on."""
+    passage, other = sayings(60, 5, 10**6), sayings(90, 6, 10**6)
+    pieces = [other[9 * k : 9 * k + 6] for k in range(8)]
+    own = [*passage[:26], *[w for x in pieces for w in x], *passage[26:]]
+    chains = substring_dedup._chains(*(np.array(x) for x in ([0, *range(26, 74, 6), 74], [0, *range(900, 100, -100), 26], [26, *[6] * 8, 34])), 60)
+    assert len(own) == 108 and [0, 9] in chains
+
+
 def test_repeated_passages_of_the_table(spark, documents):
     docs = {r.doc_id: r.text for r in documents.collect()}
     marked: dict[int, set[int]] = {}
