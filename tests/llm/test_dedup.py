@@ -221,6 +221,33 @@ def test_every_passage_is_told_in_groups_and_crowds(spark, sayings):
     assert {(r.doc_id, r.match_id) for r in rows if r.doc_id >= 50} == {(51, 50), (52, 50), (52, 51)}
 
 
+def test_texts_with_one_line_in_common_do_not_meet(spark, sayings, monkeypatch):
+    """A line of twelve words holds no run that a passage holds; a passage beside it is found as before."""
+    line, passage, met = sayings(12, 1, 10**6), sayings(60, 2, 10**6), []
+    docs = {k: [*sayings(70, 100 + k, 10**6), *line, *(passage if k in (7, 30) else []), *sayings(60, 300 + k, 10**6)] for k in range(40)}
+    verified = substring_dedup._verified
+    monkeypatch.setattr(substring_dedup, "_verified", lambda pairs, docs: [met.extend(map(tuple, pairs.select("doc_id", "hub").collect())), verified(pairs, docs)][1])
+    rows = substring_dedup.repeated_passages(frame(spark, {i: " ".join(w) for i, w in docs.items()})).collect()
+    assert met == [(30, 7)] and [(r.doc_id, r.match_id, r.start_word, r.n_words) for r in rows] == [(30, 7, 70, 72)]
+
+
+def test_shingles_that_fit():
+    """By brute force over all stretches: with a whole run, three of four shingles common, none that fits left out."""
+    rng = np.random.default_rng(5)
+    for n in (15, 40, 90):
+        for density in (0.3, 0.6, 0.9):
+            common, at = rng.random(n) < density, np.sort(rng.choice(n - substring_dedup.RUN + 1, 2, replace=False))
+            for a in at:
+                common[a : a + substring_dedup.RUN] = True
+            found = substring_dedup.fitting(at, common, np.ones(n, bool))
+            for low in range(n):
+                for high in range(low + 1, n + 1):
+                    if any(low <= a and a + substring_dedup.RUN <= high for a in at) and 4 * common[low:high].sum() >= 3 * (high - low):
+                        assert found[low:high].all()
+    alone = np.arange(120) // substring_dedup.RUN == 0
+    assert not substring_dedup.fitting(np.array([0]), alone, np.ones(120, bool))[20:].any()
+
+
 def test_a_passage_of_many_pieces(sayings):
     """More than six chains stand open before the passage goes on."""
     passage, other = sayings(60, 5, 10**6), sayings(90, 6, 10**6)
