@@ -203,6 +203,11 @@ def _holds(words: list[str]) -> Callable[[Column], Column]:
     return lambda x: _any(x, words)
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once for a row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sheet_roles(terms: Column, markers: Column, sheets: Column, chars: Column) -> Column:
     """The roles of a sheet, sorted, from hits of terms (map to counts), markers, sheet numbers and its number of characters.
 
@@ -213,23 +218,28 @@ def sheet_roles(terms: Column, markers: Column, sheets: Column, chars: Column) -
     markers, sheets = (F.coalesce(x, F.array().cast("array<string>")) for x in (markers, sheets))
     ids = F.filter(sheets, lambda s: s.isNotNull() & (s != ""))
     hit = F.map_keys(F.map_filter(terms, lambda _, n: F.coalesce(n, F.lit(0)) != 0))
-    blob = F.lower(F.concat_ws(" ", hit, markers))
-    upper = F.transform(markers, F.upper)
-    has = {role: _any(blob, words) for role, words in ROLE_WORDS.items()}
-    for role, names in ROLE_MARKERS.items():
-        has[role] = has[role] | F.arrays_overlap(upper, F.array(*map(F.lit, names)))
-    for role, parts in ROLE_PARTS.items():
-        has[role] = has[role] | F.exists(upper, _holds(parts))
-    has = {role: F.coalesce(x, F.lit(False)) for role, x in has.items()}
     poor = F.coalesce(chars < POOR, F.lit(False))
-    storefront = _any(F.lower(F.array_join(F.map_keys(terms), " ")), STOREFRONT)
-    schedule = F.exists(ids, lambda s: s.rlike(SCHEDULE_SHEET))
-    detail = F.exists(ids, lambda s: s.rlike(DETAIL_SHEET) & ~s.rlike(SCHEDULE_SHEET)) & poor & ~storefront
-    has["door_schedule_candidate"] = (schedule | detail) & ~has["door_schedule"]
-    has["hardware"] = has["hardware"] | schedule
-    has["floor_plan"] = has["floor_plan"] | F.exists(ids, lambda s: s.rlike(PLAN_SHEET))
-    has["text_poor"] = poor & (F.size(ids) > 0)
-    return F.array_compact(F.array(*[F.when(has[role], role) for role in sorted(has)]))
+    given = F.struct(F.lower(F.concat_ws(" ", hit, markers)).alias("blob"), F.transform(markers, F.upper).alias("upper"), ids.alias("ids"), poor.alias("poor"), F.lower(F.array_join(F.map_keys(terms), " ")).alias("terms"))
+
+    def named(x: Column) -> Column:
+        has = {role: _any(x["blob"], words) for role, words in ROLE_WORDS.items()}
+        for role, names in ROLE_MARKERS.items():
+            has[role] = has[role] | F.arrays_overlap(x["upper"], F.array(*map(F.lit, names)))
+        for role, parts in ROLE_PARTS.items():
+            has[role] = has[role] | F.exists(x["upper"], _holds(parts))
+        schedule = F.exists(x["ids"], lambda s: s.rlike(SCHEDULE_SHEET))
+        detail = F.exists(x["ids"], lambda s: s.rlike(DETAIL_SHEET) & ~s.rlike(SCHEDULE_SHEET)) & x["poor"] & ~_any(x["terms"], STOREFRONT)
+        has["floor_plan"] = has["floor_plan"] | F.exists(x["ids"], lambda s: s.rlike(PLAN_SHEET))
+        has["text_poor"] = x["poor"] & (F.size(x["ids"]) > 0)
+        return F.struct(*[F.coalesce(held, F.lit(False)).alias(role) for role, held in has.items()], schedule.alias("schedule"), (schedule | detail).alias("candidate"))
+
+    def listed(x: Column) -> Column:
+        has = {role: x[role] for role in [*ROLE_WORDS, "text_poor"]}
+        has["door_schedule_candidate"] = x["candidate"] & ~x["door_schedule"]
+        has["hardware"] = x["hardware"] | x["schedule"]
+        return F.array_compact(F.array(*[F.when(has[role], role) for role in sorted(has)]))
+
+    return _with(_with(given, named), listed)
 
 
 def visual_reasons(roles: Column, chars: Column, text_poor: Column, parsed: Column, verified: Column, blocks: Column, sparse: Column) -> Column:
@@ -239,10 +249,14 @@ def visual_reasons(roles: Column, chars: Column, text_poor: Column, parsed: Colu
     the first in order, where the text is poor or missing or the take-off is sparse.
     """
     roles = F.transform(F.coalesce(roles, F.array().cast("array<string>")), F.lower)
-    no_layer, yes = F.coalesce(chars < NO_LAYER, F.lit(False)), F.lit(True)
+    no_layer = F.coalesce(chars < NO_LAYER, F.lit(False))
     poor = F.coalesce(text_poor, F.lit(False)) | F.coalesce(chars < POOR, F.lit(False))
     sparse, parsed = F.coalesce(sparse, F.lit(False)), F.coalesce(parsed, F.lit(False))
-    value = F.filter(F.array(*map(F.lit, VISUAL_ORDER)), lambda r: F.array_contains(roles, r))
-    weighty = F.size(value) > 0
-    reasons = [(no_layer, F.lit("no_text_layer")), (poor, F.lit("text_poor")), (parsed & verified.isNull(), F.lit("mineru_verified_null")), (parsed & F.coalesce(blocks == 0, F.lit(False)), F.lit("mineru_empty_blocks")), (weighty & sparse, F.lit("pretakeoff_empty")), (weighty & (poor | no_layer | sparse) & yes, F.get(value, F.lit(0)))]
-    return F.array_compact(F.array(*[F.when(test, name) for test, name in reasons]))
+    first = _with(roles, lambda held: F.get(F.filter(F.array(*map(F.lit, VISUAL_ORDER)), lambda r: F.array_contains(held, r)), F.lit(0)))
+
+    def reasons(value: Column) -> Column:
+        weighty = value.isNotNull()
+        found = [(no_layer, F.lit("no_text_layer")), (poor, F.lit("text_poor")), (parsed & verified.isNull(), F.lit("mineru_verified_null")), (parsed & F.coalesce(blocks == 0, F.lit(False)), F.lit("mineru_empty_blocks")), (weighty & sparse, F.lit("pretakeoff_empty")), (weighty & (poor | no_layer | sparse), value)]
+        return F.array_compact(F.array(*[F.when(test, name) for test, name in found]))
+
+    return _with(first, reasons)

@@ -120,3 +120,13 @@ def test_sheet_roles(spark, terms, markers, sheets, chars, roles):
 def test_visual_reasons(spark, roles, chars, poor, parsed, verified, blocks, sparse, reasons):
     frame = spark.createDataFrame([(roles, chars, poor, parsed, verified, blocks, sparse)], "a array<string>, b int, c boolean, d boolean, e double, f int, g boolean")
     assert frame.select(pages.visual_reasons(*map(F.col, "abcdefg")).alias("r")).first().r == reasons
+
+
+def test_a_sheet_is_read_once(spark):
+    """However many words, markers and roles are looked for, a row's terms, markers and roles are each put together once."""
+    frame = spark.createDataFrame([({"Door Schedule": 1}, ["x"], ["A1.1"], 600)], "t map<string, int>, m array<string>, s array<string>, c int")
+    roles = frame.select(pages.sheet_roles(*map(F.col, "tmsc")).alias("r"))._jdf.queryExecution().analyzed().toString()
+    assert roles.count("map_filter(") == 1 and roles.count("concat_ws(") == 1
+    given = spark.createDataFrame([(["hardware"], 30, True, True, None, 0, True)], "a array<string>, b int, c boolean, d boolean, e double, f int, g boolean")
+    reasons = given.select(pages.visual_reasons(*map(F.col, "abcdefg")).alias("r"))._jdf.queryExecution().analyzed().toString()
+    assert reasons.count("array_contains(") == 1
