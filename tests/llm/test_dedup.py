@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plain import near_classes, repeated_words, shingles, words
 
@@ -248,6 +249,48 @@ def test_shingles_that_fit():
     assert not substring_dedup.fitting(np.array([0]), alone, np.ones(120, bool))[20:].any()
 
 
+def test_no_pair_with_a_passage_counts_as_explained(sayings):
+    """Edited copies: wherever the alignment finds a passage that reaches out of what is known, the bound lets the pair through; not all pass."""
+    rng, passed, found = random.Random(8), 0, 0
+    for k in range(400):
+        text = sayings(150, 6000 + k, 10**6)
+        pair = []
+        for _ in range(2):
+            own = list(text)
+            for _ in range(rng.randrange(7)):
+                at, kind = rng.randrange(len(own)), rng.randrange(4)
+                own[at : at + (kind != 1)] = [[f"new{rng.random()}"], [f"more{rng.random()}"], [], [own[at]] * 2][kind]
+            pair.append(substring_dedup.Reference(substring_dedup.word_hashes([w.encode() for w in own])))
+        passes = substring_dedup.unexplained(*pair, [])
+        spans = substring_dedup.passages(*pair)
+        assert passes or not spans
+        for start, n, _ in spans:
+            # what is known ends within the passage
+            part = [(0, start + n - rng.randrange(6, 30))]
+            assert substring_dedup.unexplained(*pair, part)
+        whole = substring_dedup.regions({(start, start + n, True) for start, n, _ in spans})
+        passed, found = passed + substring_dedup.unexplained(*pair, whole), found + bool(spans)
+    assert found > 300 and passed < 0.7 * found
+
+
+def test_passages_that_touch_are_one_region():
+    """What is told covers words together; runs that are not told, and lie in nothing else, stand alone."""
+    known = {(0, 266, True), (5, 307, True), (287, 397, True), (420, 440, False), (425, 440, False), (300, 320, False)}
+    assert substring_dedup.regions(known) == [(0, 397), (420, 440)]
+
+
+def test_a_walk_aligns_only_what_is_not_explained(sayings):
+    """Of 40 smaller documents with one passage the first explains it; the last shares more and is aligned too."""
+    passage, more = sayings(60, 1, 10**6), sayings(30, 2, 10**6)
+    rows = [(50, None, [], [*sayings(30, 3, 10**6), *passage, *more])]
+    rows += [(50, k, None, [*passage, *(more if k == 39 else []), *sayings(40, 100 + k, 10**6)]) for k in range(40)]
+    known = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("told", pa.bool_())]))
+    columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [" ".join(r[3]) for r in rows]]
+    batch = pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), known, pa.string()], strict=True)], ["doc_id", "hub", "known", "text"])
+    found = [tuple(r.values()) for out in substring_dedup._walk(iter([batch])) for r in out.to_pylist()]
+    assert found == [(50, 0, 30, 60, 1.0), (50, 39, 30, 90, 1.0)]
+
+
 def test_a_passage_of_many_pieces(sayings):
     """More than six chains stand open before the passage goes on."""
     passage, other = sayings(60, 5, 10**6), sayings(90, 6, 10**6)
