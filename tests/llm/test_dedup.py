@@ -315,6 +315,14 @@ def test_cut_passages(spark):
     assert {r.doc_id: (r.text, r.source) for r in substring_dedup.cut_passages(docs, spans).collect()} == {1: ("a  d", "s"), 2: ("keep me", "t")}
 
 
+def test_cutting_goes_by_slices():
+    """Of a batch no more than 64 texts, and the spans of one, are Python objects at a time."""
+    spans = [[{"start_word": 1, "n_words": 2}, {"start_word": 2, "n_words": 2}]] * 130
+    batch = pa.record_batch([pa.array(range(130)), pa.array(["a b  c d e"] * 130), pa.array(spans, pa.list_(pa.struct([("start_word", pa.int32()), ("n_words", pa.int32())])))], ["doc_id", "text", "spans"])
+    out = list(substring_dedup._cut(iter([batch])))
+    assert [b.num_rows for b in out] == [64, 64, 2] and {t for b in out for t in b.column(1).to_pylist()} == {"a e"}
+
+
 def test_passages_of_odd_rows(odd_docs, no_docs):
     rows = substring_dedup.repeated_passages(odd_docs).collect()
     assert {(r.doc_id, r.match_id) for r in rows} == {(7, 6)} and sum(r.n_words for r in rows) >= 60_000
