@@ -111,6 +111,28 @@ def test_preferences_reach_the_optimum():
     assert worth.cut == np.quantile(z @ worth.weights, 1 - good.mean())
 
 
+def test_every_label_teaches(spark):
+    """Few bad texts whose doc_ids have the largest hashes among 21,000 labels."""
+    ids = [r.id for r in spark.range(21_000).orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, "Good prose here.", 1) for i in ids[:-50]] + [(i, "$$$ BUY!!!", 0) for i in ids[-50:]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4).cache()
+    found = quality.score(docs, quality.fit(docs, docs)).join(docs.select("doc_id", "quality"), "doc_id")
+    assert {(r.quality, r.predicted) for r in found.select("quality", "predicted").distinct().collect()} == {(0, 0), (1, 1)}
+
+
+def test_blocks_teach_as_one_table_does(spark, sayings, monkeypatch):
+    """Sums over blocks against the whole table at once, and the slope of the mean over all pairs at the optimum."""
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    rows = [(i, " ".join(sayings(20 + i % 13, i)) + (" !!" if i % 5 else "?") * (i % 3), int(i % 3 > 0)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    x, good = np.array([quality.features(t.encode()) for _, t, _ in rows]), np.array([q == 1 for *_, q in rows])
+    one, many = quality.Worth(x, good), quality.fit(docs, docs)
+    assert quality.blocks(docs, docs).count() > 5 and np.allclose(one.weights, many.weights, atol=1e-3) and np.isclose(one.cut, many.cut, atol=1e-2)
+    z = one.standard(x)
+    apart = (z[good][:, None] - z[~good][None]).reshape(-1, z.shape[1])
+    assert np.abs(quality.DECAY * one.weights - (1 / (1 + np.exp(apart @ one.weights))) @ apart / len(apart)).max() < 1e-3
+
+
 def test_language_model(spark, folder):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()}
     rows = {r.doc_id: r for r in queries.op3_lm_scoring(spark, LARGER).collect()}
