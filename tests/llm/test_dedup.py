@@ -279,6 +279,24 @@ def test_passages_that_touch_are_one_region():
     assert substring_dedup.regions(known) == [(0, 397), (420, 440)]
 
 
+def test_words_that_repeat_do_not_hide_what_is_explained():
+    """Texts of few words, each many times: a run that is told twice reaches out of neither place, and no passage counts as explained."""
+    own = substring_dedup.Reference(substring_dedup.word_hashes([w for w in (b"an", b"the", b"x", b"an") for _ in range(60)]))
+    other = substring_dedup.Reference(substring_dedup.word_hashes([b"y"] * 40 + [b"an"] * 94))
+    assert substring_dedup.unexplained(own, other, [(0, 60)])
+    assert not substring_dedup.unexplained(own, other, [(0, 60), (180, 240)])
+    rng, open_pairs = random.Random(9), 0
+    for _ in range(300):
+        pair = [substring_dedup.Reference(substring_dedup.word_hashes([w for _ in range(rng.randrange(2, 8)) for w in [rng.choice([b"a", b"b", b"c", b"d", b"e"])] * rng.randrange(3, 75)])) for _ in range(2)]
+        spans = [(start, start + n) for start, n, _ in substring_dedup.passages(*pair)]
+        for k in range(len(spans) + 1):
+            known = substring_dedup.regions({(*s, True) for s in spans[:k]})
+            left = any(not any(a <= start and end <= b for a, b in known) for start, end in spans)
+            open_pairs += left
+            assert substring_dedup.unexplained(*pair, known) or not left
+    assert open_pairs > 100
+
+
 def test_a_walk_aligns_only_what_is_not_explained(sayings):
     """Of 40 smaller documents with one passage the first explains it; the last shares more and is aligned too."""
     passage, more = sayings(60, 1, 10**6), sayings(30, 2, 10**6)
